@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.html_extract import extract_pages
+from millrace.llm.quality import quality_rules
 from millrace.llm.substring_dedup import substring_dedup
 
 
@@ -36,8 +38,20 @@ SELECT words.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
 FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
 """
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extraction": op2_html_extraction,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,

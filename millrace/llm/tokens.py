@@ -107,11 +107,11 @@ def encoded(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20) -> list[tuple[int, int]]:
-    """Row ranges of about `limit` bytes, so that the work arrays of a batch stay small; a longer text stands alone."""
+def pieces(texts: list[bytes], limit: int = 4 << 20, rows: int = 1 << 30) -> list[tuple[int, int]]:
+    """Row ranges of about `limit` bytes and at most `rows` rows, so that a batch's work arrays stay small; a longer text stands alone."""
     out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if i > begin and (size + len(t) > limit or i - begin == rows):
             out.append((begin, i))
             begin, size = i, 0
         size += len(t) + 1
@@ -119,9 +119,3 @@ def pieces(texts: list[bytes], limit: int = 4 << 20) -> list[tuple[int, int]]:
         out.append((begin, len(texts)))
     return out
 
-
-def rebatch(batches, limit_rows: int = 1 << 20):
-    """Arrow batches as tables; a hook for operators that need whole batches as tables."""
-    for b in batches:
-        if b.num_rows:
-            yield pa.Table.from_batches([b])
