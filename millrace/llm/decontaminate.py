@@ -40,11 +40,11 @@ SENTENCE = re.compile(rb"(?:[.!?]+[\x20\x09-\x0D]+|\n+)(?=[^\x20\x09-\x0D])")
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Distinct trigram hashes of a text; of a shorter one, its whole sequence."""
+def grams(text: bytes, sizes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Distinct trigram hashes of a text, or of a shorter one its whole sequence; or the windows of the given sizes."""
     words = Words([text], table=LOWER)
     n = int(words.count[0])
-    return np.unique(words.windows(min(3, n))[1]) if n else np.empty(0, U64)
+    return np.unique(np.concatenate([words.windows(k)[1] for k in sizes or (min(3, n),)])) if n else np.empty(0, U64)
 
 
 def parts_of(text: bytes) -> tuple[bytes, bytes]:
@@ -163,7 +163,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for (row, check), score in sorted(best.items()):
                     item, question, answer = checks[check]
                     if row not in own:
-                        own[row] = grams(texts[begin + row])
+                        own[row] = grams(texts[begin + row], (1, 2, 3))
                     q = float(np.isin(question, own[row]).mean())
                     a = float(np.isin(answer, own[row]).mean()) if len(answer) else 1.0
                     if q >= OVERLAP and a >= OVERLAP:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.boosting import Booster, boost, isotonic
 from millrace.llm.tokens import LOWER, SPACE, U64, Words, encoded, mix, pieces
@@ -177,7 +178,7 @@ def learned_lexicons(sample: DataFrame) -> list[Lexicon]:
                 key = pairs[:, 1].astype(np.int64) + begin
                 cell = np.stack([pairs[:, 0], fold[key].astype(U64), toxic[key].astype(U64)], axis=1)
                 cells, n = np.unique(cell, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0].view(np.int64) if cells[:, 0].flags.c_contiguous else np.ascontiguousarray(cells[:, 0]).view(np.int64)), pa.array(cells[:, 1].astype(np.int32)), pa.array(cells[:, 2].astype(np.int32)), pa.array(n)], names=["term", "fold", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cells[:, 0]).view(np.int64)), pa.array(cells[:, 1].astype(np.int32)), pa.array(cells[:, 2].astype(np.int32)), pa.array(n)], names=["term", "fold", "toxic", "n"])
 
     counted = sample.select("text", "toxic", "fold").mapInArrow(count, "term long, fold int, toxic int, n long")
     sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{k}{t}") for k in range(FOLDS) for t in (0, 1)]
@@ -252,5 +253,5 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataF
                 out[begin:end] = np.round(np.interp(margin, knots, levels), 6)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    schema = docs.drop("score", "predicted").schema.add("score", "double").add("predicted", "int")
-    return docs.drop("score", "predicted").mapInArrow(score, schema)
+    docs = docs.drop("score", "predicted")
+    return docs.mapInArrow(score, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
