@@ -7,9 +7,11 @@ part once, as the class's smallest id.
 Plan.  One pass over the text gives each document its set's size and digest, a one-bit-a-slot sketch and its band keys.
 Classes that share a band key meet in a bucket.  A bucket never emits all its pairs: its members are compared with one hub
 first, links are verified (the best of each member before the rest), components are contracted, and only members that are
-still in different components go on, to other hubs for HUB_ROUNDS rounds and then all against each other, so that no link
-between two components of a bucket is left untested, while a bucket of near copies costs one comparison a member.  Pairs
-that differ in size or in sketch by more than similar sets can are not verified.  Sets are computed again from the text for
+still in different components go on: to other hubs for up to HUB_ROUNDS rounds while their pairs are many, and then members outside the
+hub's component meet all others, so that no link between two components of a bucket is left untested, while a bucket of
+near copies costs a few comparisons a member.  Pairs that differ in size or in sketch by more than similar sets can are not
+verified; in the later rounds odd sketches (the parity of the shingles that fall on each of 1,024 bits) rule out nearly all
+others without loss, as two of them differ in no more bits than the sets in shingles.  Sets are computed again from the text for
 the documents to verify, and verified pairs are components' edges, contracted by min-label stars: all of it as
 DataFrames, with lineage cut in spark.checkpoint.dir.
 
@@ -21,22 +23,31 @@ the component of an equal set that has an id, else null, and is kept then.  Rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.superminhash import ROWS, band_keys, set_digests, shingle_sets, signatures
+from millrace.llm.superminhash import ROWS, band_keys, odd_sketches, set_digests, shingle_sets, signatures
 from millrace.llm.tokens import U64, encoded, pieces
 
 BANDS, SLOTS = 32, 128
 #: Mismatches among the sketch bits that a pair at 0.8 similarity exceeds with probability under 1e-8 (12.8 expected).
 SKETCH_SLACK = 36
 HUB_ROUNDS = 3
+#: 64-bit words of an odd sketch.
+ODD_WORDS = 16
+#: Pairs a member, over all buckets that are still apart, up to which they are compared all against all at once.
+PAIRS_A_MEMBER = 8
+BATCH_ROWS = 1000
+ROWS_A_PART = 100_000
 #: Ids to verify are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, odd array<long>, bands array<long>"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -57,13 +68,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """df checkpointed, in a partition for every ROWS_A_PART rows, and its number of rows.
+
+    The tables of the rounds are small next to the text; few partitions keep their many exchanges from many tiny files.
+    """
+    kept = checkpointed(df)
+    n = kept.count()
+    return kept.coalesce(max(1, -(-n // ROWS_A_PART))), n
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches hold BATCH_ROWS rows at most, so that a worker holds few texts or sets at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """SKETCH of every row of docs (doc_id, text)."""
 
     def sketch(batches):
         for b in batches:
             texts = encoded(b.column(1))
-            for begin, end in pieces(texts, 2 << 20, ROWS):
+            for begin, end in pieces(texts, 1 << 20, ROWS):
                 n = end - begin
                 row, elements = shingle_sets(texts[begin:end], k)
                 size, d1, d2 = set_digests(row, elements, n)
@@ -71,9 +104,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 bits = np.packbits((sig & 1).astype(bool), axis=1).view(U64)
                 keys = band_keys(sig, BANDS)
                 long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-                offsets = np.arange(n + 1, dtype=np.int32) * BANDS
-                bands = pa.ListArray.from_arrays(pa.array(offsets), long(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, n), pa.array(size.astype(np.int64)), long(d1), long(d2), long(bits[:, 0]), long(bits[:, 1]), bands], names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"])
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), long(x.reshape(-1)))
+                odd = odd_sketches(row, elements, n, ODD_WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(begin, n), pa.array(size.astype(np.int64)), long(d1), long(d2), long(bits[:, 0]), long(bits[:, 1]), lists(odd), lists(keys)], names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "odd", "bands"]
+                )
 
     return docs.mapInArrow(sketch, SKETCH)
 
@@ -84,34 +119,26 @@ def similar(a: str, b: str, least: int):
     return (100 * small >= least * large) & (mismatches(a, b) <= SKETCH_SLACK)
 
 
+def close(a: str, b: str, least: int):
+    """Whether two odd sketches allow a similarity of `least` percent: exact, as they differ in no more bits than the sets in shingles."""
+    apart = sum((F.bit_count(F.col(f"{a}.odd.o{i}").bitwiseXOR(F.col(f"{b}.odd.o{i}"))) for i in range(ODD_WORDS)), F.lit(0))
+    return (100 + least) * apart <= (100 - least) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def mismatches(a: str, b: str):
     return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-
-    def sets(batches):
-        for b in batches:
-            texts = encoded(b.column(1))
-            for begin, end in pieces(texts, 2 << 20, ROWS):
-                row, elements = shingle_sets(texts[begin:end], k)
-                cuts = np.searchsorted(row, np.arange(end - begin + 1))
-                blobs = [elements[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - begin)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(blobs, pa.binary())], names=["id", "elements"])
-
-    picked = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
-    found = picked.mapInArrow(sets, "id long, elements binary")
+    found = text_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
 
     def check(batches):
         for b in batches:
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            left, right = b.column(2), b.column(3)
             keep = np.zeros(b.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(left, right)):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = np.sort(np.concatenate([x, y]))
+            for i in range(b.num_rows):
+                both = np.sort(np.concatenate([np.frombuffer(side[i].as_buffer(), U64) for side in (left, right)]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= least * (len(both) - common)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
@@ -121,36 +148,57 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
 
 
+def text_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and elements (64-bit shingle hashes, as bytes) of the documents named by ids."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def sets(batches):
+        for b in batches:
+            texts = encoded(b.column(1))
+            for begin, end in pieces(texts, 1 << 20, ROWS):
+                row, elements = shingle_sets(texts[begin:end], k)
+                cuts = np.searchsorted(row, np.arange(end - begin + 1))
+                blobs = [elements[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - begin)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(blobs, pa.binary())], names=["id", "elements"])
+
+    picked = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
+    return picked.mapInArrow(sets, "id long, elements binary")
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """id and component (smallest reachable id) of every node of the edges (a, b), by alternating large and small stars."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = checkpointed(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        edges, _ = settled(small.where("u <> v").distinct())
+        # done when every node names one other and none that names another itself: all stars around their least nodes
+        parents = edges.select(F.col("v").alias("x"), F.lit(2).alias("k")).distinct()
+        if edges.select(F.col("u").alias("x"), F.lit(1).alias("k")).union(parents).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = now
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, least: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(docs.sparkSession):  # all that runs Python here runs within it
+        return grouped(docs, k, least)
+
+
+def grouped(docs: DataFrame, k: int, least: int) -> DataFrame:
+    """near_duplicates of doc_id and text."""
     sketched = checkpointed(sketches(docs, k))
     class_key = ["n_shingles", "d1", "d2"]
     real = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy(*class_key).agg(F.min(F.struct("doc_id", "s1", "s2", "bands")).alias("r"))
-    reps = checkpointed(classes.select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), *class_key[1:], "r.s1", "r.s2", "r.bands"))
+    classes = real.groupBy(*class_key).agg(F.min(F.struct("doc_id", "s1", "s2", "odd", "bands")).alias("r"))
+    reps = checkpointed(classes.select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), *class_key[1:], "r.s1", "r.s2", "r.odd", "r.bands"))
     entries = reps.select("rep", "n", "s1", "s2", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("members"), F.min_by(F.struct("rep", "n", "s1", "s2"), "rep").alias("hub")).where("low < high")
     # the members of buckets of two or more, each with its bucket's hub
     members = checkpointed(entries.join(shared.select("key", "members", "hub"), "key").select("key", "members", "hub", F.struct("rep", "n", "s1", "s2").alias("m")))
-    edges = None
     labels = None  # id, component of verified links so far
 
     def label(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -160,23 +208,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, least: int = 80) -> DataFrame:
         return df.join(side, F.col(column) == F.col("__id"), "left").withColumn(out, F.coalesce("__component", column)).drop("__id", "__component")
 
     def merge(new: DataFrame) -> None:
-        nonlocal edges, labels
-        new = checkpointed(new)
-        if new.isEmpty():
-            return
-        edges = new if labels is None else new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = contracted(edges)
+        nonlocal labels
+        new, n = settled(new)
+        if n:
+            labels = contracted(new if labels is None else new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     def link(pairs: DataFrame) -> None:
         """Verifies pairs (a, b, gap): the closest of each b first, then those that still join different components."""
-        pairs = checkpointed(pairs.distinct())
-        if pairs.isEmpty():
+        pairs, n = settled(pairs.distinct())
+        if not n:
             return
         first = pairs.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         merge(verified(docs, first, k, least))
-        rest = label(label(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-        rest = checkpointed(rest)
-        if not rest.isEmpty():
+        rest, n = settled(label(label(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
+        if n:
             merge(verified(docs, rest, k, least))
 
     def ordered(a: str, b: str):
@@ -184,21 +229,34 @@ def near_duplicates(docs: DataFrame, k: int = 4, least: int = 80) -> DataFrame:
         return [F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b"), mismatches(a, b).alias("gap")]
 
     link(members.where(F.col("m.rep") != F.col("hub.rep")).where(similar("m", "hub", least)).select(*ordered("m", "hub")))
+
+    def apart(rows: DataFrame, attempt: int) -> tuple[DataFrame, int]:
+        """Members of the buckets whose members are in more than one component: key, m, component, the bucket's size and a hub."""
+        rows = label(rows.select("key", "m"), "m.rep", "component")
+        hub = F.min_by(F.struct("m", "component"), F.xxhash64("m.rep", F.lit(attempt))).alias("hub")
+        split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), hub).where("low < high")
+        return settled(rows.join(split.select("key", "hub", "members"), "key"))
+
     # buckets of two are decided; of the larger ones, those whose members are still apart
-    left = members.where("members > 2").drop("hub", "members")
-    for attempt in range(HUB_ROUNDS + 1):
-        left = label(left.select("key", "m"), "m.rep", "component")
-        apart = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("m", F.xxhash64("m.rep", F.lit(attempt))).alias("hub")).where("low < high")
-        left = checkpointed(left.join(apart.select("key", "hub"), "key").select("key", "m", "hub", "component"))
-        if left.isEmpty():
+    left, n = apart(members.where("members > 2"), 0)
+    if n:  # the rest is few: it gets its odd sketches, which need no verification to rule a pair out
+        odd = reps.select(F.col("rep").alias("id"), F.struct(*(F.col("odd")[i].alias(f"o{i}") for i in range(ODD_WORDS))).alias("odd"))
+        with_odd = left.join(odd, F.col("m.rep") == F.col("id"))
+        left, n = apart(with_odd.select("key", F.struct("m.rep", "m.n", "m.s1", "m.s2", "odd").alias("m")), 1)
+    for attempt in range(2, HUB_ROUNDS + 3):
+        if not n:
             break
-        if attempt < HUB_ROUNDS:
-            with_hub = label(left, "hub.rep", "other").where("component <> other")
-            link(with_hub.where(similar("m", "hub", least)).select(*ordered("m", "hub")))
-        else:
-            x = left.select("key", F.col("m").alias("x"), F.col("component").alias("cx"))
-            y = left.select("key", F.col("m").alias("y"), F.col("component").alias("cy"))
-            link(x.join(y, "key").where("cx < cy").where(similar("x", "y", least)).select(*ordered("x", "y")))
+        minor = left.where("component <> hub.component")
+        pairs = minor.agg(F.sum("members")).first()[0]
+        # another hub first where the pairs are many; both ways find the same components
+        if attempt < HUB_ROUNDS + 2 and pairs > PAIRS_A_MEMBER * n:
+            link(minor.select("m", F.col("hub.m").alias("h")).where(similar("m", "h", least) & close("m", "h", least)).select(*ordered("m", "h")))
+            left, n = apart(left, attempt)
+            continue
+        x = minor.select("key", F.col("m").alias("x"), F.col("component").alias("cx"))
+        y = left.select("key", F.col("m").alias("y"), F.col("component").alias("cy"))
+        link(x.join(y, "key").where("cx <> cy").where(similar("x", "y", least) & close("x", "y", least)).select(*ordered("x", "y")))
+        break
     membership = reps.select(*[F.col("n" if c == "n_shingles" else c).alias(f"__{c}") for c in class_key], "rep")
     out = sketched.select("doc_id", *class_key).join(membership, [F.col(c) == F.col(f"__{c}") for c in class_key], "left")
     out = label(out, "rep", "component")

@@ -62,7 +62,7 @@ def signatures(row: np.ndarray, elements: np.ndarray, n_rows: int, m: int) -> np
             slot = np.where(k == walks[0], 0, k)
         else:
             if order is None:
-                order = np.tile(np.arange(m, dtype=np.int16), (len(row), 1))
+                order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.int32), (len(row), 1))
                 each = np.arange(len(row))
                 for j, w in enumerate(walks):
                     order[each, w] = order[:, j]
@@ -96,6 +96,14 @@ def set_digests(row: np.ndarray, elements: np.ndarray, n_rows: int) -> tuple[np.
     return size, out[0], out[1]
 
 
+def odd_sketches(row: np.ndarray, elements: np.ndarray, n_rows: int, words: int) -> np.ndarray:
+    """For each row, the parity of the elements that fall on each of 64 * words bits, as 64-bit words."""
+    bits = 64 * words
+    place = row * bits + (mix(elements ^ U64(0xA0761D6478BD642F)) % U64(bits)).astype(np.int64)
+    parity = (np.bincount(place, minlength=n_rows * bits) & 1).astype(bool)
+    return np.packbits(parity.reshape(n_rows, bits), axis=1).view(U64)
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band of each signature; keys of different bands never meet but by chance."""
     n, m = sig.shape
