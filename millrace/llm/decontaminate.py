@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import LOWER, U64, Words, encoded, pieces
+from millrace.llm.tokens import LOWER, U64, Words, pieces
 
 PIECE = 64
 PART_PIECES = 512
@@ -150,10 +150,9 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def search(batches):
         for b in batches:
-            texts = encoded(b.column(b.schema.get_field_index("text")))
-            hits: list[list[dict]] = [[] for _ in texts]
-            for begin, end in pieces(texts):
-                words = Words(texts[begin:end], table=LOWER)
+            hits: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for begin, _, texts in pieces(b.column(b.schema.get_field_index("text"))):
+                words = Words(texts, table=LOWER)
                 best: dict[tuple[int, int], float] = {}
                 for part in index:
                     for row, place, score in part.search(words):
@@ -163,7 +162,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for (row, check), score in sorted(best.items()):
                     item, question, answer = checks[check]
                     if row not in own:
-                        own[row] = grams(texts[begin + row], (1, 2, 3))
+                        own[row] = grams(texts[row], (1, 2, 3))
                     q = float(np.isin(question, own[row]).mean())
                     a = float(np.isin(answer, own[row]).mean()) if len(answer) else 1.0
                     if q >= OVERLAP and a >= OVERLAP:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.superminhash import ROWS, band_keys, odd_sketches, set_digests, shingle_sets, signatures
-from millrace.llm.tokens import U64, encoded, pieces
+from millrace.llm.tokens import U64, pieces
 
 BANDS, SLOTS = 32, 128
 #: Mismatches among the sketch bits that a pair at 0.8 similarity exceeds with probability under 1e-8 (12.8 expected).
@@ -95,10 +95,9 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def sketch(batches):
         for b in batches:
-            texts = encoded(b.column(1))
-            for begin, end in pieces(texts, 1 << 20, ROWS):
+            for begin, end, texts in pieces(b.column(1), rows=ROWS):
                 n = end - begin
-                row, elements = shingle_sets(texts[begin:end], k)
+                row, elements = shingle_sets(texts, k)
                 size, d1, d2 = set_digests(row, elements, n)
                 sig = signatures(row, elements, n, SLOTS)
                 bits = np.packbits((sig & 1).astype(bool), axis=1).view(U64)
@@ -154,9 +153,8 @@ def text_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def sets(batches):
         for b in batches:
-            texts = encoded(b.column(1))
-            for begin, end in pieces(texts, 1 << 20, ROWS):
-                row, elements = shingle_sets(texts[begin:end], k)
+            for begin, end, texts in pieces(b.column(1), rows=ROWS):
+                row, elements = shingle_sets(texts, k)
                 cuts = np.searchsorted(row, np.arange(end - begin + 1))
                 blobs = [elements[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - begin)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(blobs, pa.binary())], names=["id", "elements"])

@@ -54,10 +54,10 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=U64)
 
 
-def block_windows(texts: list[bytes], width: int):
+def block_windows(texts: pa.ChunkedArray | pa.Array, width: int):
     """For each piece of a block: its row range, its words, and first word and hash of each window."""
-    for begin, end in pieces(texts):
-        words = Words(texts[begin:end])
+    for begin, end, part in pieces(texts):
+        words = Words(part)
         yield begin, end, words, *words.windows(width)
 
 
@@ -87,7 +87,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
 
     def send(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        found = [h for *_, h in block_windows(encoded(table["text"]), width)] if block >= 0 else []
+        found = [h for *_, h in block_windows(table["text"], width)] if block >= 0 else []
         h = np.unique(np.concatenate(found)) if found else np.empty(0, U64)
         bucket = ((h >> U64(32)) * U64(n_buckets)) >> U64(32)
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U64))
@@ -114,7 +114,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     def remove(table: pa.Table, repeated: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         ids = table["doc_id"].combine_chunks()
-        texts = encoded(table["text"])
+        texts = table["text"].combine_chunks()
         n = len(texts)
         local = bool(n) and table["block"][0].as_py() >= 0
         gone: list[np.ndarray] = [np.empty(0, np.int64)] * n
@@ -140,7 +140,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
                 cuts = np.searchsorted(doc, np.arange(n + 1))
                 gone = [start[cuts[i] : cuts[i + 1]] for i in range(n)]
         n_words, n_removed, spans, kept = [], [], [], []
-        for text, starts in zip(texts, gone):
+        for text, starts in zip(encoded(texts), gone):
             words = text.split()
             n_words.append(len(words))
             if not len(starts):

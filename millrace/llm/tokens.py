@@ -7,8 +7,11 @@ a Python loop.  Words are maximal runs of bytes outside a separator set; separat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Multipliers of the two polynomial hashes: odd, so that they have an inverse modulo 2**64.
@@ -21,16 +24,22 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of text that are worked on at once, unless one text is longer.
+PIECE_BYTES = 1 << 20
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between batches."""
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=U64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=U64)
-    return _powers[base][:n]
+    """base**0 .. base**(n-1) modulo 2**64, kept between batches up to twice the usual length."""
+    if base in _powers and len(_powers[base]) >= n:
+        return _powers[base][:n]
+    steps = np.full(n if n > 2 * PIECE_BYTES else 2 * PIECE_BYTES, base, dtype=U64)
+    steps[0] = 1
+    out = np.cumprod(steps, dtype=U64)
+    if n <= 2 * PIECE_BYTES:
+        _powers[base] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,15 +116,21 @@ def encoded(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20, rows: int = 1 << 30) -> list[tuple[int, int]]:
-    """Row ranges of about `limit` bytes and at most `rows` rows, so that a batch's work arrays stay small; a longer text stands alone."""
+def ranges(lengths: np.ndarray, limit: int = PIECE_BYTES, rows: int = 1 << 30) -> list[tuple[int, int]]:
+    """Row ranges of about `limit` bytes and at most `rows` rows; a longer text stands alone."""
     out, begin, size = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and (size + len(t) > limit or i - begin == rows):
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and (size + n > limit or i - begin == rows):
             out.append((begin, i))
             begin, size = i, 0
-        size += len(t) + 1
-    if begin < len(texts):
-        out.append((begin, len(texts)))
+        size += n + 1
+    if begin < len(lengths):
+        out.append((begin, len(lengths)))
     return out
 
+
+def pieces(column: pa.ChunkedArray | pa.Array, limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a text column and their texts as UTF-8 (null is empty), so that a batch's work arrays stay small."""
+    lengths = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
+    for begin, end in ranges(lengths, limit, rows):
+        yield begin, end, encoded(column.slice(begin, end - begin))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.boosting import Booster, boost, isotonic
-from millrace.llm.tokens import LOWER, SPACE, U64, Words, encoded, mix, pieces
+from millrace.llm.tokens import LOWER, SPACE, U64, Words, mix, pieces
 
 SAMPLE_ROWS = 12_000
 FOLDS = 3
@@ -169,10 +169,9 @@ def learned_lexicons(sample: DataFrame) -> list[Lexicon]:
 
     def count(batches):
         for b in batches:
-            texts = encoded(b.column(0))
             toxic, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
-            for begin, end in pieces(texts):
-                words = folded(texts[begin:end], LOWER)
+            for begin, _, texts in pieces(b.column(0)):
+                words = folded(texts, LOWER)
                 found = [np.stack([h, words.doc[at].astype(U64)], axis=1) for at, h in terms(words)]
                 pairs = np.unique(np.concatenate(found), axis=0)
                 key = pairs[:, 1].astype(np.int64) + begin
@@ -210,14 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, Booster | float, t
 
     def describe(batches):
         for b in batches:
-            texts = encoded(b.column(1))
             fold = b.column(3).to_numpy()
-            for begin, end in pieces(texts):
+            for begin, end, texts in pieces(b.column(1)):
                 x = np.zeros((end - begin, N_FEATURES))
                 for k in range(FOLDS):
                     own = np.flatnonzero(fold[begin:end] == k)
                     if len(own):
-                        x[own] = features([texts[begin + i] for i in own], lexicons[k])
+                        x[own] = features([texts[i] for i in own], lexicons[k])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), b.column(2).slice(begin, end - begin), b.column(3).slice(begin, end - begin), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
     table = sample.mapInArrow(describe, "doc_id long, toxic int, fold int, x array<double>").orderBy("doc_id").toArrow()
@@ -246,10 +244,9 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataF
 
     def score(batches):
         for b in batches:
-            texts = encoded(b.column(b.schema.get_field_index("text")))
-            out = np.zeros(len(texts))
-            for begin, end in pieces(texts):
-                margin = model.margin(features(texts[begin:end], lexicon)) if isinstance(model, Booster) else np.zeros(end - begin)
+            out = np.zeros(b.num_rows)
+            for begin, end, texts in pieces(b.column(b.schema.get_field_index("text"))):
+                margin = model.margin(features(texts, lexicon)) if isinstance(model, Booster) else np.zeros(end - begin)
                 out[begin:end] = np.round(np.interp(margin, knots, levels), 6)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
