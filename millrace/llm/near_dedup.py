@@ -7,7 +7,7 @@ part once, as the class's smallest id.
 Plan.  One pass over the text gives each document its set's size and digest, a one-bit-a-slot sketch and its band keys.
 Classes that share a band key meet in a bucket.  A bucket never emits all its pairs: its members are compared with one hub
 first, links are verified (the best of each member before the rest), components are contracted, and only members that are
-still in different components go on: to other hubs for up to HUB_ROUNDS rounds while their pairs are many, and then members outside the
+still in different components go on: to another hub (HUB_ROUNDS times) if their pairs are many, and then members outside the
 hub's component meet all others, so that no link between two components of a bucket is left untested, while a bucket of
 near copies costs a few comparisons a member.  Pairs that differ in size or in sketch by more than similar sets can are not
 verified; in the later rounds odd sketches (the parity of the shingles that fall on each of 1,024 bits) rule out nearly all
@@ -37,7 +37,7 @@ from millrace.llm.tokens import U64, pieces
 BANDS, SLOTS = 32, 128
 #: Mismatches among the sketch bits that a pair at 0.8 similarity exceeds with probability under 1e-8 (12.8 expected).
 SKETCH_SLACK = 36
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: 64-bit words of an odd sketch.
 ODD_WORDS = 16
 #: Pairs a member, over all buckets that are still apart, up to which they are compared all against all at once.
@@ -229,18 +229,17 @@ def grouped(docs: DataFrame, k: int, least: int) -> DataFrame:
     link(members.where(F.col("m.rep") != F.col("hub.rep")).where(similar("m", "hub", least)).select(*ordered("m", "hub")))
 
     def apart(rows: DataFrame, attempt: int) -> tuple[DataFrame, int]:
-        """Members of the buckets whose members are in more than one component: key, m, component, the bucket's size and a hub."""
-        rows = label(rows.select("key", "m"), "m.rep", "component")
+        """Members (key, m, component) of the buckets whose members are in more than one component, with the bucket's size and a hub."""
         hub = F.min_by(F.struct("m", "component"), F.xxhash64("m.rep", F.lit(attempt))).alias("hub")
         split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), hub).where("low < high")
         return settled(rows.join(split.select("key", "hub", "members"), "key"))
 
     # buckets of two are decided; of the larger ones, those whose members are still apart
-    left, n = apart(members.where("members > 2"), 0)
+    left, n = apart(label(members.where("members > 2").select("key", "m"), "m.rep", "component"), 0)
     if n:  # the rest is few: it gets its odd sketches, which need no verification to rule a pair out
         odd = reps.select(F.col("rep").alias("id"), F.struct(*(F.col("odd")[i].alias(f"o{i}") for i in range(ODD_WORDS))).alias("odd"))
         with_odd = left.join(odd, F.col("m.rep") == F.col("id"))
-        left, n = apart(with_odd.select("key", F.struct("m.rep", "m.n", "m.s1", "m.s2", "odd").alias("m")), 1)
+        left, n = apart(with_odd.select("key", F.struct("m.rep", "m.n", "m.s1", "m.s2", "odd").alias("m"), "component"), 1)
     for attempt in range(2, HUB_ROUNDS + 3):
         if not n:
             break
@@ -249,7 +248,7 @@ def grouped(docs: DataFrame, k: int, least: int) -> DataFrame:
         # another hub first where the pairs are many; both ways find the same components
         if attempt < HUB_ROUNDS + 2 and pairs > PAIRS_A_MEMBER * n:
             link(minor.select("m", F.col("hub.m").alias("h")).where(similar("m", "h", least) & close("m", "h", least)).select(*ordered("m", "h")))
-            left, n = apart(left, attempt)
+            left, n = apart(label(left.select("key", "m"), "m.rep", "component"), attempt)
             continue
         x = minor.select("key", F.col("m").alias("x"), F.col("component").alias("cx"))
         y = left.select("key", F.col("m").alias("y"), F.col("component").alias("cy"))
