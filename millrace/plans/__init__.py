@@ -1 +1 @@
-
+"""Queries: the registry and the relational workloads."""
