@@ -37,12 +37,21 @@ THRESHOLD = 0.6
 OVERLAP = 0.7
 SENTENCE = re.compile(rb"(?:[.!?]+[\x20\x09-\x0D]+|\n+)(?=[^\x20\x09-\x0D])")
 
+#: Words are runs of ASCII letters, digits and all characters beyond ASCII, so that marks next to a copy don't hide its ends.
+GAPS = np.ones(256, dtype=bool)
+GAPS[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
+GAPS[128:] = False
+
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
+def split_words(texts: list[bytes]) -> Words:
+    return Words(texts, separators=GAPS, table=LOWER)
+
+
 def grams(text: bytes, sizes: tuple[int, ...] | None = None) -> np.ndarray:
     """Distinct trigram hashes of a text, or of a shorter one its whole sequence; or the windows of the given sizes."""
-    words = Words([text], table=LOWER)
+    words = split_words([text])
     n = int(words.count[0])
     return np.unique(np.concatenate([words.windows(k)[1] for k in sizes or (min(3, n),)])) if n else np.empty(0, U64)
 
@@ -121,7 +130,7 @@ def build_index(items: list[tuple[int, bytes]]) -> tuple[list[IndexPart], list[t
     held: list[tuple[int, np.ndarray]] = []
     checks = []
     for item, text in items:
-        h = Words([text], table=LOWER).hash
+        h = split_words([text]).hash
         if not len(h):
             continue
         for begin in range(0, len(h), PIECE):
@@ -152,7 +161,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             hits: list[list[dict]] = [[] for _ in range(b.num_rows)]
             for begin, _, texts in pieces(b.column(b.schema.get_field_index("text"))):
-                words = Words(texts, table=LOWER)
+                words = split_words(texts)
                 best: dict[tuple[int, int], float] = {}
                 for part in index:
                     for row, place, score in part.search(words):

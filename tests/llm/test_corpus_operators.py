@@ -13,12 +13,11 @@ import corpus_pipeline
 from millrace.llm import queries
 from millrace.llm.boosting import boost, isotonic
 from millrace.llm.chat_quotes import link_replies
-from millrace.llm.decontaminate import B, K1, PIECE, THRESHOLD, benchmark_hits, build_index
+from millrace.llm.decontaminate import B, K1, PIECE, THRESHOLD, benchmark_hits, build_index, split_words
 from millrace.llm.html_extract import extract_pages, nearest_pages, page_lines, shared_lines, url_key
 from millrace.llm.mixing import mix_sources, probabilities, raked
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.secret_scan import secret_spans
-from millrace.llm.tokens import LOWER, Words
 
 SMALL, DATA = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -139,7 +138,7 @@ def test_long_reply_chains(spark):
 def test_search_finds_what_exhaustive_scoring_finds(spark):
     items = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     index, checks = build_index(items)
-    held = [Words([t], table=LOWER).hash[:PIECE] for _, t in items]
+    held = [split_words([t]).hash[:PIECE] for _, t in items]
     df = Counter(x for t in held for x in set(t.tolist()))
     mean = np.mean([len(t) for t in held])
     idf = {x: np.log1p((len(held) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
@@ -149,10 +148,10 @@ def test_search_finds_what_exhaustive_scoring_finds(spark):
         w = {x: idf[x] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(t) / mean)) for x, n in tf.items()}
         impacts.append({x: v / sum(w.values()) for x, v in w.items()})
     texts = [(r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(150).collect()] + [b"", b" \n", items[0][1], items[1][1][: len(items[1][1]) // 2] + items[2][1]]
-    got = {(d, p): s for part in index for d, p, s in part.search(Words(texts, table=LOWER))}
+    got = {(d, p): s for part in index for d, p, s in part.search(split_words(texts))}
     want = {}
     for d, text in enumerate(texts):
-        h = Words([text], table=LOWER).hash.tolist()
+        h = split_words([text]).hash.tolist()
         for begin in range(0, max(len(h), 1), PIECE):
             passage = set(h[begin : begin + 2 * PIECE])
             for p, w in enumerate(impacts):
@@ -166,7 +165,7 @@ def test_search_finds_what_exhaustive_scoring_finds(spark):
 def test_leaks_are_found_and_nothing_else(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    flat = lambda t: f" {' '.join(t.lower().split())} "
+    flat = lambda t: f" {' '.join(re.findall('[0-9a-z\x80-\U0010ffff]+', t.lower()))} "
     want = {(d, i) for i, x in items.items() for d, t in docs.items() if flat(x) in flat(t)}
     got = {(r.doc_id, r.item_id) for r in queries.op10_benchmark_decontamination(spark, DATA).collect()}
     assert want and got == want
@@ -176,7 +175,7 @@ def test_decontamination_edge_cases(spark):
     item = "Which of the seven old clocks in the tower strikes thirteen? The third clock."
     long = " ".join(f"term{i}" for i in range(150)) + ". End of it."
     items = spark.createDataFrame([(1, item), (2, None), (3, "  "), (4, long), (5, item)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"x {item} y", 0), (2, None, 0), (3, "", 0), (None, item.upper(), 0), (4, "Which of the seven old clocks", 0), (5, " ".join(long.split()[:30]), 0), (6, f"before {long}", 0), (1, f"x {item} y", 0)], "doc_id long, text string, hits int")
+    docs = spark.createDataFrame([(1, f"x {item}*** y", 0), (2, None, 0), (3, "", 0), (None, item.upper(), 0), (4, "Which of the seven old clocks", 0), (5, " ".join(long.split()[:30]), 0), (6, f"before {long}", 0), (1, f"x {item} y", 0)], "doc_id long, text string, hits int")
     got = Counter((r.doc_id, tuple(h.item_id for h in r.hits)) for r in benchmark_hits(docs, items).collect())
     assert got == Counter([(1, (1, 5)), (1, (1, 5)), (2, ()), (3, ()), (None, (1, 5)), (4, ()), (5, ()), (6, (4,))])
     assert benchmark_hits(docs, items.limit(0)).where("size(hits) > 0").count() == 0 and benchmark_hits(docs.limit(0), items).count() == 0
@@ -275,7 +274,7 @@ def test_pipeline_stages(spark, stages):
     before, after = stages[1]
     assert ids(after) == sorted(r.doc_id for r in near_duplicates(before).where("kept").collect())
     before, after = stages[2]
-    flat = lambda t: f" {' '.join(t.lower().split())} "
+    flat = lambda t: f" {' '.join(re.findall('[0-9a-z\x80-\U0010ffff]+', t.lower()))} "
     items = [flat(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert ids(after) == sorted(r.doc_id for r in before.collect() if not any(x in flat(r.text) for x in items))
     before, after = stages[3]
