@@ -34,7 +34,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
+    """One document of each group of near duplicates (five-word shingles); rows without an id stay."""
     docs = docs.select(*COLUMNS)
     dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)

@@ -179,7 +179,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, least: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):  # all that runs Python here runs within it
