@@ -37,8 +37,6 @@ TEMPLATES = (
 )
 RAREST = 6
 MATCH = 0.75
-#: Template words in more than this share of all documents are not looked up.
-COMMON = 0.1
 
 
 def let(value: Column, body) -> Column:
@@ -66,12 +64,11 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[-1]), F.filter(everywhere, lambda i: stands(words, i, parts))).otherwise(F.array().cast("array<int>"))
 
 
-def document_frequencies(worded: DataFrame) -> tuple[int, dict[str, int]]:
-    """Documents, and documents with each template word."""
+def document_frequencies(worded: DataFrame) -> dict[str, int]:
+    """Documents with each template word that stands in any."""
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-    present = worded.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words")))).alias("word"))
-    counted = {r.word: r.n for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
-    return counted.pop("", 0), counted
+    present = worded.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words"))).alias("word"))
+    return {r.word: r.n for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
 
 
 def found_templates(words: Column, rare: list[str]) -> Column:
@@ -106,8 +103,8 @@ def found_templates(words: Column, rare: list[str]) -> Column:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    n, frequency = document_frequencies(worded)
-    rare = [w for w, c in sorted(frequency.items(), key=lambda x: (x[1], x[0])) if c <= max(1, COMMON * n)]
+    frequency = document_frequencies(worded)
+    rare = sorted(frequency, key=lambda w: (frequency[w], w))
     base = [places(F.col("words"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(PHRASES)]
     out = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), *base, found_templates(F.col("words"), rare).alias("found"))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))

@@ -264,3 +264,12 @@ def test_license_statements_without_base_phrases(spark):
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows * 2 + [(9, "filler text")] * 30, "doc_id long, text string")).collect()}
     assert [got[i].labels for i in range(1, 6)] == ["cc-by-nc", "proprietary", "", "mit", ""]
     assert got[1].score == 1.0 and got[3].score == 0.0 and got[1].n_base == 0
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_license_statement_of_a_hot_source(spark, copies):
+    """Notices that stand in a quarter of the documents each are found in all of them, in small tables and large."""
+    notices = [("cc-by-nc", "Licensed under CC BY-NC 4.0."), ("proprietary", "All rights reserved."), ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("", "and more")]
+    rows = [(i, f"text {i} {notices[i % 4][1]} end") for i in range(8 * copies)]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: notices[i % 4][0] for i, _ in rows}
