@@ -1,9 +1,9 @@
 """License scans: a positional rare-token index over licence statements.
 
 Base: places where the words of a phrase of PHRASES stand consecutively.  Method: the inverse document frequency of every
-word of the licence templates is counted over the whole corpus; each file looks up its RAREST rarest template words, whose
-postings (template, position) turn every occurrence into an alignment of a template with the file; a template is found where
-at least MATCH of its words stand at their places and its key phrase does in full.
+word of the licence templates is counted over the whole corpus; every template is looked up by the rarest word of its key
+phrase, whose posting (template, position) turns every occurrence into an alignment of the template with the file; a template
+is found where at least MATCH of its words stand at their places and its key phrase does in full.  No such place is missed.
 
 Plan.  DataFrame functions only.  One pass counts the document frequencies of the template words (a vocabulary of fixed
 size), a second judges each row by itself: no shuffle of text, no join, so hot sources and long files need no care.
@@ -35,7 +35,6 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-RAREST = 6
 MATCH = 0.75
 
 
@@ -71,14 +70,29 @@ def document_frequencies(worded: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
 
 
-def found_templates(words: Column, rare: list[str]) -> Column:
-    """array<struct<label, score>> of the templates that align with the words; rare: template words, rarest first."""
-    postings = {w: [(t, j) for t, (_, text, _) in enumerate(TEMPLATES) for j, x in enumerate(text.split()) if x == w] for w in rare}
+def anchors(frequency: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """(template, position) of the rarest word of each template's key phrase, by word.
+
+    The key phrase of a found template stands in full, so none is found without this word at its position.
+    """
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, text, key) in enumerate(TEMPLATES):
+        word = min(key.split(), key=lambda w: (frequency.get(w, 0), w))
+        out.setdefault(word, []).append((t, key_place(text, key) + key.split().index(word)))
+    return out
+
+
+def key_place(text: str, key: str) -> int:
+    """Position of a key phrase's first word among the words of its template."""
+    parts, wanted = text.split(), key.split()
+    return next(j for j in range(len(parts)) if parts[j : j + len(wanted)] == wanted)
+
+
+def found_templates(words: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
+    """array<struct<label, score>> of the templates that align with the words at one of the postings."""
     kind = "array<struct<label:string,score:double>>"
-    if not rare:
-        return F.array().cast(kind)
-    post = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(j).alias("at")) for t, j in postings[w])))])
-    known = F.array(*map(F.lit, rare))
+    post = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(j).alias("at")) for t, j in places)))])
+    known = F.array(*map(F.lit, postings))
 
     def aligned(c: Column) -> Column:
         begin = c["begin"]
@@ -86,27 +100,22 @@ def found_templates(words: Column, rare: list[str]) -> Column:
         for t, (label, text, key) in reversed(list(enumerate(TEMPLATES))):
             parts = text.split()
             hits = sum((F.coalesce((F.get(words, begin + j) == w).cast("int"), F.lit(0)) for j, w in enumerate(parts)), F.lit(0))
-            key_at = next(j for j in range(len(parts)) if parts[j : j + len(key.split())] == key.split())
-            full = stands(words, begin, key.split(), key_at)
+            full = stands(words, begin, key.split(), key_place(text, key))
             out = F.when(c["t"] == t, F.when(full, F.struct(F.lit(label).alias("label"), (hits / len(parts)).alias("score")))).otherwise(out)
         return out
 
-    def look_up(top: Column) -> Column:
-        spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(top, s["w"]))
-        begins = F.flatten(F.transform(spots, lambda s: F.transform(F.element_at(post, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["at"]).alias("begin")))))
-        return F.filter(F.transform(F.array_distinct(begins), aligned), lambda a: a.isNotNull() & (a["score"] >= MATCH))
-
-    looked_up = let(F.slice(F.array_intersect(known, words), 1, RAREST), look_up)
+    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(known, s["w"]))
+    begins = F.flatten(F.transform(spots, lambda s: F.transform(F.element_at(post, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["at"]).alias("begin")))))
+    looked_up = F.filter(F.transform(begins, aligned), lambda a: a.isNotNull() & (a["score"] >= MATCH))
     return F.when(F.arrays_overlap(words, known), looked_up).otherwise(F.array()).cast(kind)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    frequency = document_frequencies(worded)
-    rare = sorted(frequency, key=lambda w: (frequency[w], w))
+    postings = anchors(document_frequencies(worded))
     base = [places(F.col("words"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(PHRASES)]
-    out = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), *base, found_templates(F.col("words"), rare).alias("found"))
+    out = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), *base, found_templates(F.col("words"), postings).alias("found"))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES))))
     labels = F.array_union(base_labels, F.transform("found", lambda f: f["label"]))

@@ -273,3 +273,21 @@ def test_license_statement_of_a_hot_source(spark, copies):
     rows = [(i, f"text {i} {notices[i % 4][1]} end") for i in range(8 * copies)]
     got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in got} == {i: notices[i % 4][0] for i, _ in rows}
+
+
+def test_every_license_of_a_file(spark):
+    """A file with several licences gets all their labels, whatever is rare in the corpus."""
+    notices = {
+        "apache": "Licensed under the Apache License, Version 2.0.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "proprietary": "All rights reserved.",
+    }
+    rows = [(0, "\n".join(notices.values())), (1, f"{notices['proprietary']} {notices['bsd']}"), (2, "\n".join(notices[x] for x in ("mit", "cc-by-nc", "proprietary")))]
+    rows += [(10 + i, f"{notices['proprietary']} file {i}") for i in range(30)]
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(3)] == [",".join(sorted(notices)), "bsd,proprietary", "cc-by-nc,mit,proprietary"] and got[10] == "proprietary"
