@@ -3,7 +3,7 @@
 Base kinds.  `assign`: a credential name, a separator and a value of 12 or more characters; `access`: AKIA and 14 or more
 capitals or digits; `hex`: 16 or more of 0-9a-f.  Leftmost matches that do not overlap, per kind.
 
-Battery.  Every run of 20 or more characters of [A-Za-z0-9+/_=-] is given the smallest encoding whose alphabet holds it
+Battery.  Every run of 20 or more characters of [A-Za-z0-9+/_-], = only as trailing padding, is given the smallest encoding whose alphabet holds it
 (hex, base32, base36, base64) and tested for what a key of that encoding looks like: chi-squared uniformity over the
 alphabet, Wald-Wolfowitz runs of the alphabet's halves, and lag-1 serial correlation of the alphabet's indices.  A run is
 a candidate if none of the three rejects randomness at |z| < Z_RANDOM.  How unlikely text would be to give so uniform
@@ -32,15 +32,16 @@ ASSIGN_LENGTH = 12
 #: The same spans as runs of any length of which those under 18 and 16 characters are dropped.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: 20 or more characters with their padding; what stands before another = is a name, and its value a run of its own.
+CANDIDATE = "A{14}(?:A{6,}=*|A{5}=+|A{4}={2,}|A{3}={3,}|A{2}={4,}|A={5,}|={6,})".replace("A", "[A-Za-z0-9+/_-]")
 
 DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 #: Encoding: pattern, alphabet, and excess of chi-squared per character that text of that alphabet shows (its size times an
 #: index of coincidence of 0.065, less 1; 0.5 at least).
 ENCODINGS = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.5),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef", 0.5),
     ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", 1.08),
-    ("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER, 1.34),
+    ("base36", r"^([0-9a-z]+|[0-9A-Z]+)=*$", DIGITS + LOWER, 1.34),
     ("base64", r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/", 3.16),
 )
 Z_RANDOM = 3.5
@@ -77,7 +78,7 @@ def encoding_of(token: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, (_, pattern, _, _) in reversed(list(enumerate(ENCODINGS))):
         out = F.when(token.rlike(pattern), F.lit(i)).otherwise(out)
-    return F.when(token.rlike("^[0-9]+$"), F.lit(None)).otherwise(out)
+    return F.when(token.rlike("^[0-9]+=*$"), F.lit(None)).otherwise(out)
 
 
 def let(value: Column, body) -> Column:

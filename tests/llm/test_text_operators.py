@@ -291,3 +291,13 @@ def test_every_license_of_a_file(spark):
     rows += [(10 + i, f"{notices['proprietary']} file {i}") for i in range(30)]
     got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(3)] == [",".join(sorted(notices)), "bsd,proprietary", "cc-by-nc,mit,proprietary"] and got[10] == "proprietary"
+
+
+def test_secret_values_after_a_name_in_the_same_run(spark):
+    """NAME=value: the value is a candidate of its own, = belongs to one only as padding."""
+    keys = ["".join(random.Random(i).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60)) for i in range(3)]
+    rows = [(1, f"AWS_ACCESS_VALUE={keys[0]} x"), (2, f"AccountName={keys[1]}== x"), (3, f"a_long_name_of_a_parameter={keys[2]} x"), (4, "some_long_parameter_name=another_long_parameter_value")]
+    out = secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.clean, [(s.begin, s.finish) for s in r.spans]) for r in out.withColumn("clean", redacted(out.text, out.spans)).collect()}
+    assert [got[i][1] for i in range(1, 5)] == [[(17, 77)], [(12, 74)], [(27, 87)], []]
+    assert got[1][0] == "AWS_ACCESS_VALUE=[SECRET] x" and got[2][0] == "AccountName=[SECRET] x"
