@@ -11,7 +11,7 @@ side that quotes look up has one row a key and a passage that everybody quotes m
 jumping over reply edges only.  No conversation is gathered into one task.
 
 Defined results.  A message can only quote an earlier turn of its own conversation, or else the first message elsewhere
-that says the passage, if that one's (conv_id, turn) is smaller.  Null text is empty; null conv_id or turn: the message
+that says the passage, if that one's (conv_id, turn) is smaller and the passage has LEAST_CHARS characters or more.  Null text is empty; null conv_id or turn: the message
 is its own root and nobody's parent.  Rows with one (conv_id, turn) share links and each return a row.
 """
 
@@ -29,7 +29,7 @@ from millrace.llm.near_dedup import checkpointed
 
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"^(?:on .{1,200} wrote|.{1,120} (?:schrieb|a écrit|escribió)[^:]{0,60}|[\w .@<>-]{1,80} (?:said|wrote)):$", re.I)
-#: Quoted text shorter than this, once normalised, is no evidence.
+#: Quoted text shorter than this, once normalised, is no evidence of a message of another conversation.
 LEAST_CHARS = 12
 
 
@@ -55,8 +55,8 @@ def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def evidence(lines: list[str]) -> list[int]:
-    """Hashes of a passage: the whole, its paragraphs and its lines, those long enough."""
+def evidence(lines: list[str], least: int = 1) -> list[int]:
+    """Hashes of a passage: the whole, its paragraphs and its lines, those of `least` characters or more."""
     paragraphs, block = [], []
     for line in [*lines, ""]:
         if line.strip():
@@ -65,7 +65,7 @@ def evidence(lines: list[str]) -> list[int]:
             paragraphs.append(normalised(block))
             block = []
     texts = {normalised(lines), *paragraphs, *(normalised([x]) for x in lines)}
-    return sorted(hash_of(t) for t in texts if len(t) >= LEAST_CHARS and not ATTRIBUTION.match(t))
+    return sorted(hash_of(t) for t in texts if len(t) >= least and not ATTRIBUTION.match(t))
 
 
 def without_quotes(passages: list[tuple[int, list[str]]]) -> str:
@@ -90,23 +90,24 @@ def link_replies(messages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for b in batches:
-            own, quotes = [], []
+            own, far, quotes = [], [], []
             for text in b.column(2).to_pylist():
                 passages = quoted_passages(text)
                 own.append(sorted({h for level, lines in passages if not level for h in evidence(lines)}))
+                far.append(sorted({h for level, lines in passages if not level for h in evidence(lines, LEAST_CHARS)}))
                 quotes.append([{"level": level, "passage": i, "hash": int(np.uint64(h).view(np.int64))} for i, (level, lines) in enumerate(passages) if level for h in evidence(lines)])
-            own = [np.array(x, dtype=np.uint64).view(np.int64) for x in own]
+            own, far = ([np.array(x, dtype=np.uint64).view(np.int64) for x in said] for said in (own, far))
             kind = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int32()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(quotes, kind)], names=["conv_id", "turn", "own", "quotes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64())), pa.array(quotes, kind)], names=["conv_id", "turn", "own", "far", "quotes"])
 
     placed = keyed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
-    parsed = placed.mapInArrow(parse, "conv_id long, turn long, own array<long>, quotes array<struct<level:int,passage:int,hash:bigint>>")
+    parsed = placed.mapInArrow(parse, "conv_id long, turn long, own array<long>, far array<long>, quotes array<struct<level:int,passage:int,hash:bigint>>")
     quotes = checkpointed(parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.passage", "q.hash").distinct())
     edges = None
     if not quotes.isEmpty():
         said = parsed.select("conv_id", "turn", F.explode("own").alias("hash"))
         here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"))
-        first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+        first = parsed.select("conv_id", "turn", F.explode("far").alias("hash")).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
         found = quotes.join(here, ["hash", "conv_id"], "left").join(first, "hash", "left")
         elsewhere = (F.col("first.conv_id") != F.col("conv_id")) & (F.col("first") < F.struct("conv_id", "turn"))
         source = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn"))).when(elsewhere, F.col("first"))
