@@ -5,7 +5,8 @@ score, so that one threshold fits all pieces.  Every training document is read a
 so that a copied piece lies wholly within one of them.  A passage is dropped when the largest impacts of its terms can't
 reach the threshold, then block by block with the block's largest impacts, and scored exactly only where a block's bound
 reaches it: all pieces at or above the threshold are retrieved.  A retrieved item counts as leaked when shares of the word
-trigrams of its question (all but the last sentence) and of its answer (the last sentence) stand in the document.
+trigrams of its question (all but the last sentence) and of its answer (the last sentence) stand in the document, or when
+the whole item stands there with at most EDITS of its words put in, left out or changed.
 
 Plan.  One pass over the documents without a shuffle.  The items are the stated query set: they are read in parts of
 PART_PIECES pieces, whose size bounds what a task holds (a dense block of impacts of at most 64 MB); more items than
@@ -35,6 +36,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Share of the trigrams of the question, and of the answer, that the document must hold.
 OVERLAP = 0.7
+#: Word edits, as a share of the item's words, up to which a passage is a near copy of the whole item.
+EDITS = 0.2
 SENTENCE = re.compile(rb"(?:[.!?]+[\x20\x09-\x0D]+|\n+)(?=[^\x20\x09-\x0D])")
 
 #: Words are runs of ASCII letters, digits and all characters beyond ASCII, so that marks next to a copy don't hide its ends.
@@ -63,6 +66,35 @@ def parts_of(text: bytes) -> tuple[bytes, bytes]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts else (text, b"")
 
 
+def word_edits(item: np.ndarray, document: np.ndarray) -> int:
+    """Least number of word edits that turn an item into any passage of a document (Myers' bit-parallel search)."""
+    n = len(item)
+    last, every = 1 << (n - 1), (1 << n) - 1
+    at: dict[int, int] = {}
+    for j, w in enumerate(item.tolist()):
+        at[w] = at.get(w, 0) | 1 << j
+    plus, minus, score = every, 0, n
+    best = n
+    for w in document.tolist():
+        eq = at.get(w, 0)
+        flat = eq | minus
+        diagonal = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (every & ~(diagonal | plus))
+        down = plus & diagonal
+        score += bool(up & last) - bool(down & last)
+        up, down = up << 1 & every, down << 1 & every
+        plus = down | (every & ~(flat | up))
+        minus = up & flat
+        best = min(best, score)
+    return best
+
+
+def near_copy(item: np.ndarray, document: np.ndarray) -> bool:
+    """Whether a passage of the document is the item but for EDITS of its words."""
+    allowed = int(EDITS * len(item))
+    return int((~np.isin(item, document)).sum()) <= allowed and word_edits(item, document) <= allowed
+
+
 class IndexPart:
     """Postings of up to PART_PIECES pieces, with idf and mean length of the whole index."""
 
@@ -125,8 +157,8 @@ class IndexPart:
         return [(d, p, s) for (d, p), s in out.items()]
 
 
-def build_index(items: list[tuple[int, bytes]]) -> tuple[list[IndexPart], list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Index parts, whose entries name places in the list of (item_id, question grams, answer grams)."""
+def build_index(items: list[tuple[int, bytes]]) -> tuple[list[IndexPart], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Index parts, whose entries name places in the list of (item_id, question grams, answer grams, words)."""
     held: list[tuple[int, np.ndarray]] = []
     checks = []
     for item, text in items:
@@ -137,7 +169,7 @@ def build_index(items: list[tuple[int, bytes]]) -> tuple[list[IndexPart], list[t
             begin = max(0, min(begin, len(h) - PIECE))
             held.append((len(checks), h[begin : begin + PIECE]))
         question, answer = parts_of(text)
-        checks.append((item, grams(question), grams(answer)))
+        checks.append((item, grams(question), grams(answer), h))
     if not held:
         return [], checks
     df: dict[int, int] = {}
@@ -169,12 +201,12 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                         best[row, check] = max(best.get((row, check), 0.0), score)
                 own: dict[int, np.ndarray] = {}
                 for (row, check), score in sorted(best.items()):
-                    item, question, answer = checks[check]
+                    item, question, answer, whole = checks[check]
                     if row not in own:
                         own[row] = grams(texts[row], (1, 2, 3))
                     q = float(np.isin(question, own[row]).mean())
                     a = float(np.isin(answer, own[row]).mean()) if len(answer) else 1.0
-                    if q >= OVERLAP and a >= OVERLAP:
+                    if (q >= OVERLAP and a >= OVERLAP) or near_copy(whole, words.hash[words.first[row] : words.first[row + 1]]):
                         hits[begin + row].append({"item_id": item, "score": round(min(score, 1.0), 6), "question_overlap": round(q, 6), "answer_overlap": round(a, 6)})
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], names=[*b.schema.names, "hits"])
