@@ -7,19 +7,23 @@ Battery.  Every run of 20 or more characters of [A-Za-z0-9+/_-], = only as trail
 (hex, base32, base36, base64) and tested for what a key of that encoding looks like: chi-squared uniformity over the
 alphabet, Wald-Wolfowitz runs of the alphabet's halves, and lag-1 serial correlation of the alphabet's indices.  A run is
 a candidate if none of the three rejects randomness at |z| < Z_RANDOM.  How unlikely text would be to give so uniform
-a run of that length is a p-value under a text-like null, whose chi-squared grows with the length; false discoveries among
-the distinct strings of the whole corpus are held at ALPHA by Benjamini-Hochberg over a histogram of p-values.
+a run of that length is a p-value under a text-like null; false discoveries among the distinct strings of the whole corpus
+are held at ALPHA by Benjamini-Hochberg over a histogram of p-values.  For base36 and base64 the null's chi-squared grows with
+the length.  For hex and base32 the null is words and numbers that happen to fit the alphabet: letters as frequent as in
+text, digits, and few turns between the two; the p-value is the null's likelihood of the run over that of a uniform run
+(at most p of the null's runs have a ratio of p or less).
 
 Plan.  DataFrame functions only.  One pass finds the distinct strings and their p-values, summed to a histogram of at
 most P_BINS rows; a second pass writes each row's spans.  No text is shuffled, and no row meets another one of its
 document, so copies, hot sources and long texts need no care.
 
 Defined results.  Null text is empty and has no spans.  Offsets count code points, ends are exclusive.  Strings of
-digits only are not candidates; a string inside a base span is not reported again.
+digits only are not candidates, nor those that the hex pattern finds; a string inside a base span is not reported again.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +41,17 @@ CANDIDATE = "A{14}(?:A{6,}=*|A{5}=+|A{4}={2,}|A{3}={3,}|A{2}={4,}|A={5,}|={6,})"
 
 DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 #: Encoding: pattern, alphabet, and excess of chi-squared per character that text of that alphabet shows (its size times an
-#: index of coincidence of 0.065, less 1; 0.5 at least).
+#: index of coincidence of 0.065, less 1), which base36 and base64 use.
 ENCODINGS = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef", 0.5),
-    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", 1.08),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef", 0.0),
+    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", 0.0),
     ("base36", r"^([0-9a-z]+|[0-9A-Z]+)=*$", DIGITS + LOWER, 1.34),
     ("base64", r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/", 3.16),
 )
+#: Share of a..z in text, in thousandths; the null takes it half and half with equal shares, so that it holds for other languages.
+TEXT_LETTERS = dict(zip(LOWER, (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
+#: How often text passes from letters to digits or back, from one character to the next.
+TURN = 0.1
 Z_RANDOM = 3.5
 ALPHA = 0.01
 #: P-values fall in bins of a quarter decade, down to 10**-100.
@@ -78,7 +86,7 @@ def encoding_of(token: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, (_, pattern, _, _) in reversed(list(enumerate(ENCODINGS))):
         out = F.when(token.rlike(pattern), F.lit(i)).otherwise(out)
-    return F.when(token.rlike("^[0-9]+=*$"), F.lit(None)).otherwise(out)
+    return F.when(token.rlike("^[0-9]+=*$|^[0-9a-f]+$"), F.lit(None)).otherwise(out)
 
 
 def let(value: Column, body) -> Column:
@@ -86,6 +94,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def text_decades(t: Column, alphabet: str) -> Column:
+    """Decades by which a run is likelier as uniform over the alphabet than as words and numbers."""
+    total = sum(TEXT_LETTERS.values())
+    shares = [0.1 if c in DIGITS else 0.5 * TEXT_LETTERS[c.lower()] / total + 0.5 / 26 for c in alphabet]
+    weights = F.array(*(F.lit(-math.log10(len(alphabet) * p)) for p in shares))
+    classes = F.translate(t["plain"], alphabet, "".join("0" if c in DIGITS else "1" for c in alphabet))
+    turns = (2 * t["n"] - F.length(F.replace(classes, F.lit("01"), F.lit(""))) - F.length(F.replace(classes, F.lit("10"), F.lit("")))) / 2
+    chars = F.aggregate(t["chars"], F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(weights, F.position(c, F.lit(alphabet)) - 1), F.lit(0.0)))
+    return chars - math.log10(0.5) - turns * math.log10(TURN) - (t["n"] - 1 - turns) * math.log10(1 - TURN)
+
+
 def battery(token: Column, code: int) -> Column:
     """struct(random, bin): whether no test rejects randomness, and the bin of the p-value under the text-like null."""
     _, _, alphabet, excess = ENCODINGS[code]
@@ -103,7 +122,8 @@ def battery(token: Column, code: int) -> Column:
         turns = (2 * n - F.length(F.replace(halves, F.lit("01"), F.lit(""))) - F.length(F.replace(halves, F.lit("10"), F.lit("")))) / 2
         index = F.transform(t["chars"], lambda c: F.position(c, F.lit(alphabet)).cast("double") - (a + 1) / 2)
         products = let(index, lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda u, v: F.coalesce(u * v, F.lit(0.0))))
-        return F.struct(n.alias("n"), (squares * a / n - n).alias("chi"), turns.alias("turns"), (2 * ones * (n - ones) / n).alias("expected"), F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x).alias("serial"))
+        decades = text_decades(t, alphabet) if code < 2 else F.lit(0.0)
+        return F.struct(n.alias("n"), decades.alias("decades"), (squares * a / n - n).alias("chi"), turns.alias("turns"), (2 * ones * (n - ones) / n).alias("expected"), F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x).alias("serial"))
 
     def judge(t: Column) -> Column:
         n, chi, expected = t["n"], t["chi"], t["expected"]
@@ -114,7 +134,7 @@ def battery(token: Column, code: int) -> Column:
         random = (F.abs(z_chi) < Z_RANDOM) & (F.abs(z_runs) < Z_RANDOM) & (F.abs(z_serial) < Z_RANDOM)
         # Under the null chi-squared has mean df + excess * n; below it, a normal tail is at most half of exp(-z*z/2).
         below = (df + excess * n - chi) / F.sqrt(2 * (df + 2 * excess * n))
-        decades = F.when(below > 0, below * below / 2 * 0.4342944819 + 0.30103).otherwise(F.lit(0.0))
+        decades = F.when(below > 0, below * below / 2 * 0.4342944819 + 0.30103).otherwise(F.lit(0.0)) if code > 1 else F.greatest(t["decades"], F.lit(0.0))
         return F.struct(random.alias("random"), F.least(F.floor(decades * 4), F.lit(P_BINS)).cast("int").alias("bin"))
 
     def prepared(p: Column) -> Column:

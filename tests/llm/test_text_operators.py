@@ -301,3 +301,18 @@ def test_secret_values_after_a_name_in_the_same_run(spark):
     got = {r.doc_id: (r.clean, [(s.begin, s.finish) for s in r.spans]) for r in out.withColumn("clean", redacted(out.text, out.spans)).collect()}
     assert [got[i][1] for i in range(1, 5)] == [[(17, 77)], [(12, 74)], [(27, 87)], []]
     assert got[1][0] == "AWS_ACCESS_VALUE=[SECRET] x" and got[2][0] == "AccountName=[SECRET] x"
+
+
+def test_short_keys_of_small_alphabets(spark):
+    """Upper-case hex and base32 keys of usual length are found, words and numbers of the same alphabets are not."""
+    draw = random.Random(11)
+    kinds = [("0123456789ABCDEF", n) for n in (20, 32, 40, 64)] + [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n) for n in (20, 26, 32, 52)]
+    rows = [(1000 * k + i, f"key {''.join(draw.choices(alphabet, k=n))} end") for k, (alphabet, n) in enumerate(kinds) for i in range(100)]
+    names = "MAXIMUM BUFFER SIZE OF THE OUTPUT STREAM READER PARTITION WORKER LOCATION STATUS REPORT INTERNAL SERVICE VERSION HANDLER REQUEST".split()
+    rows += [(10_000 + i, "".join(draw.choices(names, k=4)) + draw.choice(["", "2", "2345"])) for i in range(300)]
+    rows += [(20_000 + i, draw.choice(["DECADE", "FACADE", "BEEF", "CAFE"]) + f"{draw.randrange(10**18):018d}") for i in range(100)]
+    out = secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out if any(s.kind == 3 for s in r.spans)}
+    power = {(len(a), n): len(found & set(range(1000 * k, 1000 * k + 100))) for k, (a, n) in enumerate(kinds)}
+    print("POWER", power, len([i for i in found if i >= 10_000]))
+    assert all(p >= (95 if a == 16 else 70) for (a, _), p in power.items()) and not [i for i in found if i >= 10_000]
