@@ -1,8 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting, then Poisson sampling by calibrated probabilities.
 
 Token counts are summed by cell (source, language, topic); the cells' weights are raked until their marginals over each of
-the three attributes meet the targets; each document is kept with a probability proportional to its cell's raked weight
-over the cell's tokens, calibrated so that the expected tokens are `share` of the corpus with no probability over 1.
+the three attributes meet the targets at `share` of the corpus with no cell over its own tokens; each document is kept with
+the probability of its cell's raked weight over the cell's tokens.  Targets that can't be met at that share are logged with
+the expected share (shortfalls).
 
 Plan.  DataFrame functions only: one aggregation with map-side combining, one pass that joins each row to its cell.  The
 cells are attribute combinations and not data; up to MAX_CELLS of them are raked on the driver, more are refused.  A
@@ -16,15 +17,22 @@ to the power of SMOOTHING.  Values with a target but no documents are left out a
 from __future__ import annotations
 
 import json
+import logging
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CELLS = 200_000
 ROUNDS, TOLERANCE = 100, 1e-9
+#: Rounds of raking under the bound, and the largest factor of a value.
+BOUNDED_ROUNDS, MOST = 2000, 1e12
+#: Misses of a goal, as shares of the sample, that are reported.
+SHORT = 1e-4
 SMOOTHING = 0.7
 MISSING = "(none)"
 AXES = ("source", "lang", "topic")
+LOG = logging.getLogger(__name__)
 
 
 def topic_of(text: Column) -> Column:
@@ -85,6 +93,73 @@ def probabilities(cells: dict[tuple[str, ...], float], weight: dict[tuple[str, .
         full |= over
 
 
+def bounded(cells: dict[tuple[str, ...], float], goals: list[dict[str, float]], share: float) -> dict[tuple[str, ...], float]:
+    """Weights raked to the goals' marginals at `share` of all tokens, with no cell over its own tokens.
+
+    A cell's tokens times min(1, product of a factor of each of its values): the closest sample to the corpus that meets the
+    goals.  A goal over a value's own tokens takes these and leaves the rest to the axis's other values.
+    """
+    names, tokens = list(cells), np.array(list(cells.values()))
+    budget = share * float(tokens.sum())
+    if budget <= 0:
+        return raked(cells, goals)
+    places, wanted = [], []
+    for i, axis in enumerate(goals):
+        order = {v: j for j, v in enumerate(axis)}
+        at = np.array([order[c[i]] for c in names])
+        goal_of = np.array(list(axis.values()))
+        places.append(at)
+        wanted.append(capped(goal_of, np.bincount(at, tokens, len(goal_of)), budget))
+    factor = [np.ones(len(w)) for w in wanted]
+    for _ in range(BOUNDED_ROUNDS):
+        off = 0.0
+        for i, (at, want) in enumerate(zip(places, wanted)):
+            rest = np.prod([f[p] for j, (f, p) in enumerate(zip(factor, places)) if j != i], axis=0)
+            have = np.bincount(at, tokens * np.minimum(1.0, rest * factor[i][at]), len(want))
+            off = max(off, float(np.abs(have - want).max()) / budget)
+            full = np.zeros(len(names), dtype=bool)
+            while True:
+                loose = np.bincount(at, np.where(full, 0.0, tokens * rest), len(want))
+                left = np.maximum(want - np.bincount(at, np.where(full, tokens, 0.0), len(want)), 0.0)
+                f = np.where(loose > 0, left / np.where(loose > 0, loose, 1.0), MOST)
+                over = ~full & (tokens > 0) & (rest * f[at] > 1.0)
+                if not over.any():
+                    break
+                full |= over
+            # where all cells of a value are full, the least factor that keeps them so
+            tight = np.full(len(want), 0.0)
+            np.maximum.at(tight, at[full], 1.0 / np.maximum(rest[full], 1.0 / MOST))
+            factor[i] = np.minimum(np.where(loose > 0, f, np.maximum(tight, np.where(want > 0, 1.0, 0.0))), MOST)
+        if off < TOLERANCE:
+            break
+    kept = tokens * np.minimum(1.0, np.prod([f[p] for f, p in zip(factor, places)], axis=0))
+    return dict(zip(names, (kept / budget).tolist()))
+
+
+def capped(goal_of: np.ndarray, most: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens of each value: its goal, or all it has; what it lacks goes to the others in proportion to their goals."""
+    full = np.zeros(len(goal_of), dtype=bool)
+    while True:
+        open_goal = float(goal_of[~full].sum())
+        scale = (budget - float(most[full].sum())) / open_goal if open_goal > 0 else 0.0
+        over = ~full & (goal_of * scale > most)
+        if not over.any():
+            return np.where(full, most, goal_of * max(scale, 0.0))
+        full |= over
+
+
+def shortfalls(cells: dict[tuple[str, ...], float], goals: list[dict[str, float]], chance: dict[tuple[str, ...], float]) -> list[tuple[str, str, float, float]]:
+    """(axis, value, goal, expected share) of the values whose expected share of the sample misses the goal by over SHORT."""
+    total = sum(chance[c] * t for c, t in cells.items())
+    out = []
+    for i, (axis, wanted) in enumerate(zip(AXES, goals)):
+        have = dict.fromkeys(wanted, 0.0)
+        for c, t in cells.items():
+            have[c[i]] += chance[c] * t
+        out += [(axis, v, wanted[v], have[v] / total) for v in wanted if total and abs(have[v] / total - wanted[v]) > SHORT]
+    return out
+
+
 def mix_sources(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 7) -> DataFrame:
     """The sampled documents, with n_tokens, topic, probability and weight (1 / probability) added."""
     targets = targets or {}
@@ -102,7 +177,9 @@ def mix_sources(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str
         for c, t in cells.items():
             sums[c[i]] = sums.get(c[i], 0.0) + t
         goals.append(goal(sums, targets.get(axis)))
-    chance = probabilities(cells, raked(cells, goals), share) if cells else {}
+    chance = probabilities(cells, bounded(cells, goals, share), share) if cells else {}
+    for axis, value, wanted, expected in shortfalls(cells, goals, chance):
+        LOG.warning("target of %s %s can't be met at share %s: %.6f wanted, %.6f expected", axis, value, share, wanted, expected)
     listed = json.dumps([{"__0": c[0], "__1": c[1], "__2": c[2], "__p": p} for c, p in chance.items()])
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<__0:string,__1:string,__2:string,__p:double>>")))
     drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text").cast("string"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
