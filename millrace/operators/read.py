@@ -182,6 +182,12 @@ def op64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).where("pid = 3").select("map_id", "pid", "key", "size")
 
 
+@query("op64b_plain_read_all", "SELECT map_id, pid, key, size FROM records")
+def op64b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All partitions, as they are."""
+    return records(spark, sf_dir).select("map_id", "pid", "key", "size")
+
+
 @query("op65_open_streams", "SELECT worker, count(*) AS n, array_to_string(list_sort(list(unique_id)), ',') AS ids FROM locations GROUP BY 1")
 def op65(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request a worker, naming all its locations."""
@@ -205,6 +211,13 @@ def op68(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("pid", "key", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
 
 
+@query("op68b_ordered_grouped_all", "SELECT pid, key, array_to_string(list_sort(list(size)), ',') AS sizes FROM records GROUP BY 1, 2")
+def op68b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values grouped by key over all attempts' inputs, whatever their size."""
+    grouped = records(spark, sf_dir).groupBy("pid", "key").agg(F.sort_array(F.collect_list("size")).alias("sizes"))
+    return grouped.select("pid", "key", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
 @query("op69_concatenated_inputs", "SELECT c_custkey AS k, 'customer' AS side FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier UNION ALL SELECT p_partkey, 'part' FROM part")
 def op69(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = [read_table(spark, sf_dir, t).select(F.col(k).alias("k"), F.lit(t).alias("side")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))]
@@ -253,6 +266,12 @@ def op73(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.groupBy("channel").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query("op73b_input_gate_all", "SELECT pid AS channel, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM batches GROUP BY 1")
+def op73b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All partition streams read as one."""
+    return batches(spark, sf_dir).groupBy(F.col("pid").alias("channel")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
 @query("op90_read_metrics", f"SELECT s.pid, count(*) AS seen, count(DISTINCT (s.map_id, s.batch_id)) AS kept, CAST(sum(s.size) AS BIGINT) AS bytes_read, CAST(sum(s.size * s.copy) AS BIGINT) AS bytes_repeated FROM sent_batches s JOIN {WINNERS_SQL} w ON s.map_id = w.map_id AND s.attempt_id = w.attempt_id GROUP BY 1")
 def op90(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes read and bytes of repeats, for each partition."""

@@ -43,6 +43,13 @@ def group_then_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("k", F.array_join(F.transform("vs", lambda x: x.cast("string")), ",").alias("vs")).orderBy("k")
 
 
+@query("q03b_group_then_sort_all", "SELECT l_suppkey AS k, array_to_string(list_sort(list(l_linenumber)), ',') AS vs FROM lineitem GROUP BY 1 ORDER BY 1")
+def group_then_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-03 over all rows."""
+    grouped = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("vs"))
+    return grouped.select("k", F.array_join(F.transform("vs", lambda x: x.cast("string")), ",").alias("vs")).orderBy("k")
+
+
 @query("q04_group_order", "SELECT l_returnflag, count(l_linestatus) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag")
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT l_returnflag, count(l_linestatus) AS n FROM {line} GROUP BY l_returnflag ORDER BY l_returnflag", line=read_table(spark, sf_dir, "lineitem"))
@@ -138,12 +145,19 @@ def sort_merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q14_partitioned_product", "SELECT r_name, n_name, s.s_suppkey AS s FROM region, nation, (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey < 50) s")
 def partitioned_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The product of three small stated sets: the only query whose meaning is a product."""
+    """The product of three small stated sets: its meaning is a product."""
     region, nation = read_table(spark, sf_dir, "region").select("r_name"), read_table(spark, sf_dir, "nation").select("n_name")
     supplier = read_table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0 and s_suppkey < 50").select(F.col("s_suppkey").alias("s"))
     return supplier.crossJoin(F.broadcast(region.crossJoin(F.broadcast(nation))))
 
 
+@query("q14b_partitioned_product_all", "SELECT r_name, n_name, s_suppkey AS s FROM region, nation, supplier")
+def partitioned_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-14 over all suppliers; regions and nations are tables of fixed size."""
+    region, nation = read_table(spark, sf_dir, "region").select("r_name"), read_table(spark, sf_dir, "nation").select("n_name")
+    return read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s")).crossJoin(F.broadcast(region.crossJoin(F.broadcast(nation))))
+
+
 @query("q15_word_count", f"SELECT word, count(*) AS n FROM {WORDS_SQL} WHERE word <> '' GROUP BY 1")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_count(read_table(spark, sf_dir, "documents"))
