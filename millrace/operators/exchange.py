@@ -126,7 +126,7 @@ def op09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "op10_hash_writer_buffers",
+    "op010_hash_writer_buffers",
     """WITH RECURSIVE r AS (SELECT map_id, pid, size, row_number() OVER (PARTITION BY map_id, pid ORDER BY attempt_id, seq) AS i FROM records),
     f AS (SELECT map_id, pid, i, size, size > 4000 AS giant, CASE WHEN size > 4000 THEN NULL ELSE 0 END AS flush_id, 0 AS flush, CASE WHEN size > 4000 THEN 0 ELSE size END AS used FROM r WHERE i = 1
       UNION ALL SELECT r.map_id, r.pid, r.i, r.size, r.size > 4000, CASE WHEN r.size > 4000 THEN NULL WHEN f.used + r.size > 4000 THEN f.flush + 1 ELSE f.flush END,
