@@ -5,20 +5,21 @@ sets; a document's component is the smallest id it can reach over links.  Docume
 part once, as the class's smallest id.
 
 Plan.  One pass over the text gives each document its set's size and digest, a one-bit-a-slot sketch and its band keys.
-Classes that share a band key meet in a bucket.  A bucket never emits all its pairs: its members are compared with one hub
-first, links are verified (the best of each member before the rest), components are contracted, and only members that are
-still in different components go on: to another hub (HUB_ROUNDS times) if their pairs are many, and then members outside the
-hub's component meet all others, so that no link between two components of a bucket is left untested, while a bucket of
-near copies costs a few comparisons a member.  Pairs that differ in size or in sketch by more than similar sets can are not
-verified; in the later rounds odd sketches (the parity of the shingles that fall on each of 1,024 bits) rule out nearly all
-others without loss, as two of them differ in no more bits than the sets in shingles.  Sets are computed again from the text for
-the documents to verify, and verified pairs are components' edges, contracted by min-label stars: all of it as
+Classes that share a band key meet in a bucket; a class that shares any gets one row with its buckets and their hubs (the
+bucket's least id), and its shingle set is written once.  Every member is compared with its buckets' hubs (the closest first),
+links are verified on full sets, components are contracted.  Only members of buckets that are still in several components go
+on, and not as pairs of a bucket: an exact prefix filter over their sets (two similar sets share one of their rarest shingles)
+gives the pairs of different components to verify, so that pages of one template, whose rare shingles differ, meet in no
+pair, and a large group of near copies meets only the few that its hub did not catch.  Odd sketches (the parity of the
+shingles that fall on each of 1,024 bits; two of them differ in no more bits than the sets in shingles) rule out nearly all
+pairs that are no links, without loss.  Verified pairs are components' edges, contracted by min-label stars: all of it as
 DataFrames, with lineage cut in spark.checkpoint.dir.
 
 Recall.  With 32 bands of 4 slots a pair at exactly 0.8 similarity shares a bucket with probability 1 - 5e-8.
 
 Defined results.  Null or blank text has an empty set, is linked with nothing and is its own component.  A null id joins
-the component of an equal set that has an id, else null, and is kept then.  Rows with one id are one node.
+the component of an equal set that has an id, else null, and is kept then.  Rows with one id are one node, but for its
+rows without words.  Shingles are hashes of 54 bits.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ from millrace.llm.tokens import U64, pieces
 BANDS, SLOTS = 32, 128
 #: Mismatches among the sketch bits that a pair at 0.8 similarity exceeds with probability under 1e-8 (12.8 expected).
 SKETCH_SLACK = 36
-HUB_ROUNDS = 1
 #: 64-bit words of an odd sketch.
 ODD_WORDS = 16
-#: Pairs a member, over all buckets that are still apart, up to which they are compared all against all at once.
-PAIRS_A_MEMBER = 8
+#: Shingles are put in order by the counts of 2**ORDER_BITS buckets.
+ORDER_BITS = 18
+#: Rows of prefixes that leave a Python worker at once, or one set's.
+PREFIX_ROWS = 100_000
 BATCH_ROWS = 1000
 ROWS_A_PART = 100_000
 #: Ids to verify are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
@@ -128,9 +130,24 @@ def mismatches(a: str, b: str):
     return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame:
+def text_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and elements (54-bit shingle hashes, as bytes) of the documents named by ids."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def sets(batches):
+        for b in batches:
+            for begin, end, texts in pieces(b.column(1), rows=ROWS):
+                row, elements = shingle_sets(texts, k)
+                cuts = np.searchsorted(row, np.arange(end - begin + 1))
+                blobs = [elements[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - begin)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(blobs, pa.binary())], names=["id", "elements"])
+
+    picked = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
+    return picked.mapInArrow(sets, "id long, elements binary")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    found = text_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
 
     def check(batches):
         for b in batches:
@@ -142,25 +159,55 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame
                 keep[i] = 100 * common >= least * (len(both) - common)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    left = found.select(F.col("id").alias("a"), F.col("elements").alias("left"))
-    right = found.select(F.col("id").alias("b"), F.col("elements").alias("right"))
+    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
 
 
-def text_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and elements (64-bit shingle hashes, as bytes) of the documents named by ids."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """Sets that hold a shingle of each of 2**ORDER_BITS hash buckets: a table of fixed size."""
 
-    def sets(batches):
+    def count(batches):
+        total = np.zeros(1 << ORDER_BITS, np.int64)
         for b in batches:
-            for begin, end, texts in pieces(b.column(1), rows=ROWS):
-                row, elements = shingle_sets(texts, k)
-                cuts = np.searchsorted(row, np.arange(end - begin + 1))
-                blobs = [elements[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - begin)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(blobs, pa.binary())], names=["id", "elements"])
+            for blob in b.column(0):
+                total += np.bincount((np.frombuffer(blob.as_buffer(), U64) >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    picked = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
-    return picked.mapInArrow(sets, "id long, elements binary")
+    counted = sets.select("elements").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, least: int) -> DataFrame:
+    """The rarest shingles of each set (id, component, minor, elements), as rows id, component, minor, n, shingle, index.
+
+    Two sets with `least` percent of their union in common share a shingle among the first n - ceil(least n / 100) + 1 of the
+    larger one and, index, the first m - ceil(2 least m / (100 + least)) + 1 of the smaller one, in any one order of all
+    shingles; the order here is by the counts of the shingles' buckets, so that text that many share comes last.
+    """
+    counts = shingle_counts(sets)
+
+    def cut(batches):
+        names = ["id", "component", "minor", "n", "shingle", "index"]
+        for b in batches:
+            first, taken, sizes, index = [], [], [], []
+            for row, blob in enumerate(b.column(3)):
+                e = np.frombuffer(blob.as_buffer(), U64)
+                n = len(e)
+                ordered = e[np.lexsort((e, counts[(e >> U64(64 - ORDER_BITS)).astype(np.int64)]))[: n - -(-least * n // 100) + 1]]
+                first.append(ordered)
+                taken.append(np.full(len(ordered), row))
+                sizes.append(np.full(len(ordered), n))
+                index.append(np.arange(len(ordered)) < n - -(-2 * least * n // (100 + least)) + 1)
+                if sum(map(len, first)) >= PREFIX_ROWS or row == b.num_rows - 1:
+                    rows = pa.array(np.concatenate(taken))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(3)), *(pa.array(np.concatenate(x)) for x in (sizes, [x.view(np.int64) for x in first], index))], names=names)
+                    first, taken, sizes, index = [], [], [], []
+
+    return sets.select("id", "component", "minor", "elements").mapInArrow(cut, "id long, component long, minor boolean, n long, shingle long, index boolean")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -193,12 +240,12 @@ def grouped(docs: DataFrame, k: int, least: int) -> DataFrame:
     real = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy(*class_key).agg(F.min(F.struct("doc_id", "s1", "s2", "odd", "bands")).alias("r"))
     reps = checkpointed(classes.select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), *class_key[1:], "r.s1", "r.s2", "r.odd", "r.bands"))
-    entries = reps.select("rep", "n", "s1", "s2", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("members"), F.min_by(F.struct("rep", "n", "s1", "s2"), "rep").alias("hub")).where("low < high")
-    # the members of buckets of two or more, each with its bucket's hub
-    members = checkpointed(entries.join(shared.select("key", "members", "hub"), "key").select("key", "members", "hub", F.struct("rep", "n", "s1", "s2").alias("m")))
+    membership = reps.select(*[F.col("n" if c == "n_shingles" else c).alias(f"__{c}") for c in class_key], "rep")
     labels = None  # id, component of verified links so far
 
+    def classed(df: DataFrame) -> DataFrame:
+        return df.join(membership, [F.col(c) == F.col(f"__{c}") for c in class_key], "left").drop(*(f"__{c}" for c in class_key))
+
     def label(df: DataFrame, column: str, out: str) -> DataFrame:
         if labels is None:
             return df.withColumn(out, F.col(column))
@@ -211,51 +258,46 @@ def grouped(docs: DataFrame, k: int, least: int) -> DataFrame:
         if n:
             labels = contracted(new if labels is None else new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
+    # an id with several sets is one node of all its classes
+    mixed = real.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
+    merge(classed(real.join(mixed, "doc_id", "left_semi")).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+
+    entries = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high"), F.count("*").alias("members")).where("hub < high").drop("high")
+    # one row a class that shares a bucket: its buckets (BANDS at most) with their hubs
+    shares = entries.join(buckets, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "hub", "members")).alias("buckets"))
+    members, _ = settled(shares.join(reps.select("rep", F.struct("n", "s1", "s2", F.struct(*(F.col("odd")[i].alias(f"o{i}") for i in range(ODD_WORDS))).alias("odd")).alias("m")), "rep"))
+    sets = checkpointed(text_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k))
+
     def link(pairs: DataFrame) -> None:
         """Verifies pairs (a, b, gap): the closest of each b first, then those that still join different components."""
-        pairs, n = settled(pairs.distinct())
+        pairs, n = settled(pairs)
         if not n:
             return
         first = pairs.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        merge(verified(docs, first, k, least))
+        merge(verified(sets, first, least))
         rest, n = settled(label(label(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
         if n:
-            merge(verified(docs, rest, k, least))
-
-    def ordered(a: str, b: str):
-        """The pair as (a, b) with a < b, and its sketches' mismatches."""
-        return [F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b"), mismatches(a, b).alias("gap")]
-
-    link(members.where(F.col("m.rep") != F.col("hub.rep")).where(similar("m", "hub", least)).select(*ordered("m", "hub")))
-
-    def apart(rows: DataFrame, attempt: int) -> tuple[DataFrame, int]:
-        """Members (key, m, component) of the buckets whose members are in more than one component, with the bucket's size and a hub."""
-        hub = F.min_by(F.struct("m", "component"), F.xxhash64("m.rep", F.lit(attempt))).alias("hub")
-        split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), hub).where("low < high")
-        return settled(rows.join(split.select("key", "hub", "members"), "key"))
-
-    # buckets of two are decided; of the larger ones, those whose members are still apart
-    left, n = apart(label(members.where("members > 2").select("key", "m"), "m.rep", "component"), 0)
-    if n:  # the rest is few: it gets its odd sketches, which need no verification to rule a pair out
-        odd = reps.select(F.col("rep").alias("id"), F.struct(*(F.col("odd")[i].alias(f"o{i}") for i in range(ODD_WORDS))).alias("odd"))
-        with_odd = left.join(odd, F.col("m.rep") == F.col("id"))
-        left, n = apart(with_odd.select("key", F.struct("m.rep", "m.n", "m.s1", "m.s2", "odd").alias("m"), "component"), 1)
-    for attempt in range(2, HUB_ROUNDS + 3):
-        if not n:
-            break
-        minor = left.where("component <> hub.component")
-        pairs = minor.agg(F.sum("members")).first()[0]
-        # another hub first where the pairs are many; both ways find the same components
-        if attempt < HUB_ROUNDS + 2 and pairs > PAIRS_A_MEMBER * n:
-            link(minor.select("m", F.col("hub.m").alias("h")).where(similar("m", "h", least) & close("m", "h", least)).select(*ordered("m", "h")))
-            left, n = apart(label(left.select("key", "m"), "m.rep", "component"), attempt)
-            continue
-        x = minor.select("key", F.col("m").alias("x"), F.col("component").alias("cx"))
-        y = left.select("key", F.col("m").alias("y"), F.col("component").alias("cy"))
-        link(x.join(y, "key").where("cx <> cy").where(similar("x", "y", least) & close("x", "y", least)).select(*ordered("x", "y")))
-        break
-    membership = reps.select(*[F.col("n" if c == "n_shingles" else c).alias(f"__{c}") for c in class_key], "rep")
-    out = sketched.select("doc_id", *class_key).join(membership, [F.col(c) == F.col(f"__{c}") for c in class_key], "left")
-    out = label(out, "rep", "component")
+            merge(verified(sets, rest, least))
+
+    hubs = members.select("rep", "m", F.explode(F.array_distinct(F.transform("buckets", lambda b: b["hub"]))).alias("hub")).where("rep <> hub")
+    met = hubs.join(members.select(F.col("rep").alias("hub"), F.col("m").alias("h")), "hub").where(similar("m", "h", least))
+    link(met.select(F.col("hub").alias("a"), F.col("rep").alias("b"), mismatches("m", "h").alias("gap")).distinct())
+
+    # buckets of two are decided; of the larger ones, those whose members are still apart, and their largest component
+    several = label(members.select("rep", F.transform(F.filter("buckets", lambda b: b["members"] > 2), lambda b: b["key"]).alias("keys")), "rep", "component")
+    seats = several.select("rep", "component", F.explode("keys").alias("key"))
+    split = seats.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("major"), F.count("*").alias("components")).where("components > 1")
+    left, n = settled(seats.join(split.select("key", "major"), "key").groupBy("rep", "component").agg(F.max(F.col("component") != F.col("major")).alias("minor")))
+    if n:
+        apart = checkpointed(prefixes(sets.join(left, sets.id == left.rep).select("id", "component", "minor", "elements"), least))
+        # shingles by which members of two components meet; sketches go along with these alone
+        live = apart.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("minor").alias("minor")).where("low < high and minor")
+        seen = apart.join(live.select("shingle"), "shingle", "left_semi").join(members.select(F.col("rep").alias("id"), "m"), "id")
+        x, y = (rows.select(F.col("shingle").alias(f"{c}_shingle"), F.struct("id", "component", "minor", "m.*").alias(c)) for rows, c in ((seen, "x"), (seen.where("index"), "y")))
+        met = (F.col("x.component") != F.col("y.component")) & (F.col("x.minor") | F.col("y.minor")) & (F.struct("x.n", "x.id") > F.struct("y.n", "y.id"))
+        found = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & met & similar("x", "y", least) & close("x", "y", least))
+        link(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), mismatches("x", "y").alias("gap")).distinct())
+    out = label(classed(sketched.select("doc_id", *class_key)), "rep", "component")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
