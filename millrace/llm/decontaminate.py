@@ -1,19 +1,22 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND by every passage.
 
-Test items are cut into pieces of at most PIECE words and indexed; an entry's impact is its BM25 weight over the piece's own
+Test items are cut into pieces of at most PIECE words and indexed; a posting's impact is its BM25 weight over the piece's own
 score, so that one threshold fits all pieces.  Every training document is read as overlapping passages of 2 * PIECE words,
 so that a copied piece lies wholly within one of them.  A passage is dropped when the largest impacts of its terms can't
-reach the threshold, then block by block with the block's largest impacts, and scored exactly only where a block's bound
-reaches it: all pieces at or above the threshold are retrieved.  A retrieved item counts as leaked when shares of the word
-trigrams of its question (all but the last sentence) and of its answer (the last sentence) stand in the document, or when
-the whole item stands there with at most EDITS of its words put in, left out or changed.
+reach the threshold, then block by block of BLOCK_PIECES pieces with the largest impacts that the terms' postings have there;
+postings are read and summed only in blocks whose bound reaches it: all pieces at or above the threshold are retrieved.
+A retrieved item counts as leaked when shares of the word trigrams of its question (all but the last sentence) and of its
+answer (the last sentence) stand around the passage (an item's length before and after it), or when the whole item stands
+there with at most EDITS of its words put in, left out or changed.
 
-Plan.  One pass over the documents without a shuffle.  The items are the stated query set: they are read in parts of
-PART_PIECES pieces, whose size bounds what a task holds (a dense block of impacts of at most 64 MB); more items than
-ITEM_BYTES are refused rather than broadcast.
+Plan.  One pass over the documents without a shuffle.  The items are the stated query set: they are dealt by hash into groups
+of about GROUP_BYTES, whose sparse postings bound what a task holds (about 8 bytes a byte of text); idf and mean length are
+those of all groups.  More groups than one are searched one after the other, the documents with their hits so far written
+to the checkpoint folder between two passes.
 
 Defined results.  Null and blank texts have no passages and no hits; null or blank items are never hit; an item of one
-sentence has no answer part and is judged by the question alone; repeated items each report their own hit.
+sentence has no answer part and is judged by the question alone; repeated items each report their own hit.  The overlaps are
+those of the first passage that is accepted, the score is the best passage's.
 """
 
 from __future__ import annotations
@@ -25,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import LOWER, U64, Words, pieces
+from millrace.llm.near_dedup import checkpointed
+from millrace.llm.tokens import LOWER, U64, WORD_BASE, Words, mix, pieces
 
 PIECE = 64
-PART_PIECES = 512
 BLOCK_PIECES = 16
-ITEM_BYTES = 256 << 20
+#: Text of items that one index holds.
+GROUP_BYTES = 16 << 20
+#: Rows that a search holds at once: block bounds of passages.
+STEP = 4 << 20
 K1, B = 1.2, 0.75
 #: Share of a piece's own BM25 score that a passage must reach.
 THRESHOLD = 0.6
-#: Share of the trigrams of the question, and of the answer, that the document must hold.
+#: Share of the trigrams of the question, and of the answer, that must stand around the passage.
 OVERLAP = 0.7
 #: Word edits, as a share of the item's words, up to which a passage is a near copy of the whole item.
 EDITS = 0.2
@@ -52,11 +58,16 @@ def split_words(texts: list[bytes]) -> Words:
     return Words(texts, separators=GAPS, table=LOWER)
 
 
-def grams(text: bytes, sizes: tuple[int, ...] | None = None) -> np.ndarray:
-    """Distinct trigram hashes of a text, or of a shorter one its whole sequence; or the windows of the given sizes."""
-    words = split_words([text])
-    n = int(words.count[0])
-    return np.unique(np.concatenate([words.windows(k)[1] for k in sizes or (min(3, n),)])) if n else np.empty(0, U64)
+def grams(h: np.ndarray, sizes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Distinct trigram hashes of a word sequence, or of a shorter one its whole; or the windows of the given sizes."""
+    out = []
+    for k in sizes or (min(3, len(h)),):
+        if 0 < k <= len(h):
+            rolled = np.zeros(len(h) - k + 1, dtype=U64)
+            for j in range(k):
+                rolled = rolled * U64(WORD_BASE) + h[j : j + len(rolled)]
+            out.append(mix(rolled + U64(k)))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
 
 
 def parts_of(text: bytes) -> tuple[bytes, bytes]:
@@ -95,25 +106,44 @@ def near_copy(item: np.ndarray, document: np.ndarray) -> bool:
     return int((~np.isin(item, document)).sum()) <= allowed and word_edits(item, document) <= allowed
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges starts[i] .. starts[i] + counts[i]: the range and the place of every element."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    before = np.cumsum(counts) - counts
+    return which, np.arange(len(which)) - before[which] + starts[which]
+
+
 class IndexPart:
-    """Postings of up to PART_PIECES pieces, with idf and mean length of the whole index."""
+    """Postings of pieces by term and block, with idf and mean length of the whole index.
+
+    terms (sorted); runs of a term: first_run[t] .. first_run[t + 1], each with its block, its largest impact and its postings
+    first_posting[r] .. first_posting[r + 1], each a piece and an impact.
+    """
 
     def __init__(self, held: list[tuple[int, np.ndarray]], idf: dict[int, float], mean: float) -> None:
         self.items = np.array([i for i, _ in held], dtype=np.int64)
-        self.terms = np.unique(np.concatenate([t for _, t in held]))
-        blocks = -(-len(held) // BLOCK_PIECES)
-        self.impact = np.zeros((len(self.terms), blocks * BLOCK_PIECES), dtype=np.float32)
-        for p, (_, t) in enumerate(held):
+        found = []
+        for _, t in held:
             term, tf = np.unique(t, return_counts=True)
             w = np.array([idf[x] for x in term.tolist()]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
-            self.impact[np.searchsorted(self.terms, term), p] = w / w.sum()
-        self.block = self.impact.reshape(len(self.terms), blocks, BLOCK_PIECES).max(axis=2)
-        self.top = self.block.max(axis=1)
+            found.append((term, (w / w.sum()).astype(np.float32)))
+        term = np.concatenate([t for t, _ in found])
+        piece = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t, _ in found])
+        order = np.argsort(term, kind="stable")  # pieces ascend within a term
+        term, self.piece, self.impact = term[order], piece[order], np.concatenate([w for _, w in found])[order]
+        block = self.piece // BLOCK_PIECES
+        fresh = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        self.first_posting = np.append(np.flatnonzero(fresh), len(term))
+        self.block, self.most = block[fresh], np.maximum.reduceat(self.impact, self.first_posting[:-1])
+        run_term = term[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], run_term[1:] != run_term[:-1]]))
+        self.terms, self.first_run, self.top = run_term[starts], np.append(starts, len(run_term)), np.maximum.reduceat(self.most, starts)
+        self.blocks = -(-len(held) // BLOCK_PIECES)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(self.terms >> U64(44)).astype(np.int64)] = True
 
-    def search(self, words: Words) -> list[tuple[int, int, float]]:
-        """(row, item place, score) of the pieces that a passage reaches the threshold of, best passage of each."""
+    def passages(self, words: Words) -> list[tuple[int, int, int, float]]:
+        """(row, passage of the row, item place, score) of the pieces that a passage reaches the threshold of."""
         maybe = np.flatnonzero(self.bitmap[(words.hash >> U64(44)).astype(np.int64)])
         if not len(maybe):
             return []
@@ -135,82 +165,129 @@ class IndexPart:
             return []
         key = np.unique(passage * len(self.terms) + np.concatenate([term[own], term[before]]))
         passage, term = key // len(self.terms), key % len(self.terms)
-        out: dict[tuple[int, int], float] = {}
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(passage)) + 1])
-        step = max(1, (8 << 20) // max(1, self.block.shape[1]))
-        cuts = np.searchsorted(starts, np.arange(0, len(passage) + step, step))
+        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        sizes = np.add.reduceat(self.first_run[term + 1] - self.first_run[term], starts)
+        part = (np.cumsum(sizes) - 1) // STEP  # passages whose block bounds are held together
+        cuts = np.append(starts[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))], len(passage))
+        out: list[tuple[int, int, int, float]] = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if lo == hi:
-                continue
-            end = starts[hi] if hi < len(starts) else len(passage)
-            local = starts[lo:hi] - starts[lo]
-            bounds = np.add.reduceat(self.block[term[starts[lo] : end]], local, axis=0)
-            which, block = np.nonzero(bounds >= THRESHOLD - 1e-4)
-            for s, b in zip(which.tolist(), block.tolist()):
-                first = starts[lo + s]
-                last = starts[lo + s + 1] if lo + s + 1 < len(starts) else len(passage)
-                score = self.impact[term[first:last], b * BLOCK_PIECES : (b + 1) * BLOCK_PIECES].astype(np.float64).sum(axis=0)
-                for j in np.flatnonzero(score >= THRESHOLD - 1e-6).tolist():
-                    if (place := b * BLOCK_PIECES + j) < len(self.items):
-                        doc = int(np.searchsorted(base, passage[first], side="right")) - 1
-                        out[doc, place] = max(out.get((doc, place), 0.0), float(score[j]))
-        return [(d, p, s) for (d, p), s in out.items()]
-
-
-def build_index(items: list[tuple[int, bytes]]) -> tuple[list[IndexPart], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Index parts, whose entries name places in the list of (item_id, question grams, answer grams, words)."""
+            t, p = term[lo:hi], passage[lo:hi]
+            which, run = spread(self.first_run[t], self.first_run[t + 1] - self.first_run[t])
+            place, slot = np.unique(p[which] * self.blocks + self.block[run], return_inverse=True)
+            reached = np.bincount(slot, self.most[run]) >= THRESHOLD - 1e-4
+            which, run = which[reached[slot]], run[reached[slot]]
+            back, posting = spread(self.first_posting[run], self.first_posting[run + 1] - self.first_posting[run])
+            hit, slot = np.unique(p[which[back]] * len(self.items) + self.piece[posting], return_inverse=True)
+            score = np.bincount(slot, self.impact[posting])
+            for j in np.flatnonzero(score >= THRESHOLD - 1e-6).tolist():
+                q = int(hit[j]) // len(self.items)
+                doc = int(np.searchsorted(base, q, side="right")) - 1
+                out.append((doc, q - int(base[doc]), int(hit[j]) % len(self.items), float(score[j])))
+        return out
+
+    def search(self, words: Words) -> list[tuple[int, int, float]]:
+        """(row, item place, score) of the pieces that a passage reaches the threshold of, best passage of each."""
+        best: dict[tuple[int, int], float] = {}
+        for row, _, place, score in self.passages(words):
+            best[row, place] = max(best.get((row, place), 0.0), score)
+        return [(d, p, s) for (d, p), s in best.items()]
+
+
+def cut_pieces(h: np.ndarray) -> list[np.ndarray]:
+    """Pieces of an item's words; the last ends with the item."""
+    return [h[b : b + PIECE] for b in (max(0, min(b, len(h) - PIECE)) for b in range(0, len(h), PIECE))]
+
+
+#: What idf and mean length are counted from: pieces, their words, and pieces that hold each term.
+Totals = tuple[int, int, dict[int, int]]
+
+
+def totals(held: list[np.ndarray]) -> Totals:
+    found, n = np.unique(np.concatenate([np.unique(t) for t in held]), return_counts=True) if held else (np.empty(0, U64), np.empty(0, np.int64))
+    return len(held), sum(map(len, held)), dict(zip(found.tolist(), n.tolist()))
+
+
+def build_index(items: list[tuple[int, bytes]], known: Totals | None = None) -> tuple[list[IndexPart], list[tuple[int, int, np.ndarray]]]:
+    """Index parts (one, or none without words), whose entries name places in the list of (item_id, words of the question, words)."""
     held: list[tuple[int, np.ndarray]] = []
     checks = []
     for item, text in items:
         h = split_words([text]).hash
-        if not len(h):
-            continue
-        for begin in range(0, len(h), PIECE):
-            begin = max(0, min(begin, len(h) - PIECE))
-            held.append((len(checks), h[begin : begin + PIECE]))
-        question, answer = parts_of(text)
-        checks.append((item, grams(question), grams(answer), h))
+        if len(h):
+            held += [(len(checks), p) for p in cut_pieces(h)]
+            checks.append((item, len(split_words([parts_of(text)[0]]).hash), h))
     if not held:
         return [], checks
-    df: dict[int, int] = {}
-    for _, t in held:
-        for x in np.unique(t).tolist():
-            df[x] = df.get(x, 0) + 1
-    idf = {x: float(np.log1p((len(held) - n + 0.5) / (n + 0.5))) for x, n in df.items()}
-    mean = sum(len(t) for _, t in held) / len(held)
-    return [IndexPart(held[i : i + PART_PIECES], idf, mean) for i in range(0, len(held), PART_PIECES)], checks
+    n_pieces, n_words, df = known or totals([t for _, t in held])
+    idf = {x: float(np.log1p((n_pieces - n + 0.5) / (n + 0.5))) for x, n in df.items()}
+    return [IndexPart(held, idf, n_words / n_pieces)], checks
+
+
+def counted_terms(items: DataFrame) -> tuple[int, int, DataFrame]:
+    """Totals of all items' pieces: pieces, words, and the table term, n."""
+
+    def count(batches):
+        for b in batches:
+            held = [p for text in b.column(0).to_pylist() for p in cut_pieces(split_words([text.encode()]).hash) if len(p)]
+            n_pieces, n_words, df = totals(held)
+            term, n = [None, None, *np.array(list(df), dtype=U64).view(np.int64).tolist()], [n_pieces, n_words, *df.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(["pieces", "words", *["term"] * len(df)]), pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["kind", "term", "n"])
+
+    rows = checkpointed(items.select("text").mapInArrow(count, "kind string, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
+    sums = {r.kind: r.n for r in rows.where("term is null").collect()}
+    return sums.get("pieces", 0), sums.get("words", 0), rows.where("term is not null").select("term", "n")
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def benchmark_hits(docs: DataFrame, items: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs with the column hits: the leaked items of each document, by item_id."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > ITEM_BYTES:
-        raise ValueError(f"test items of more than {ITEM_BYTES} bytes: pass them in parts")
-    held = [(r.item_id, r.text.encode()) for r in items.orderBy("item_id", "text").collect()]
-    index, checks = build_index(held)
+    groups = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
+    dealt = items.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
+    out = docs.drop("hits")
+    whole = counted_terms(items) if groups > 1 else None
+    for g in range(groups):
+        own = [(r.item_id, r.text.encode()) for r in dealt.where(F.col("group") == g).orderBy("item_id", "text").collect()]  # about group_bytes
+        known = None
+        if whole:
+            mine = np.unique(np.concatenate([split_words([t]).hash for _, t in own] or [np.empty(0, U64)])).view(np.int64)
+            terms = docs.sparkSession.createDataFrame([(x,) for x in mine.tolist()], "term long")
+            known = whole[0], whole[1], {r.term & 0xFFFFFFFFFFFFFFFF: r.n for r in whole[2].join(terms, "term").collect()}
+            out = checkpointed(out) if g else out
+        out = searched(out, own, known)
+    return out
+
+
+def searched(docs: DataFrame, own: list[tuple[int, bytes]], known: Totals | None) -> DataFrame:
+    """docs with the hits of these items, added to the column hits if there is one."""
+    index, checks = build_index(own, known)
+
+    def verdict(check: int, around: np.ndarray) -> tuple[float, float] | None:
+        """Shares of question and answer in the words around a passage, if the item is leaked there."""
+        _, n_question, item = checks[check]
+        there = grams(around, (1, 2, 3))
+        shares = [float(np.isin(grams(x), there).mean()) if len(x) else 1.0 for x in (item[:n_question], item[n_question:])]
+        return tuple(shares) if min(shares) >= OVERLAP or near_copy(item, around) else None
 
     def search(batches):
         for b in batches:
-            hits: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            hits = b.column(b.schema.get_field_index("hits")).to_pylist() if "hits" in b.schema.names else [[] for _ in range(b.num_rows)]
             for begin, _, texts in pieces(b.column(b.schema.get_field_index("text"))):
                 words = split_words(texts)
                 best: dict[tuple[int, int], float] = {}
+                spots: dict[tuple[int, int], set[int]] = {}
                 for part in index:
-                    for row, place, score in part.search(words):
-                        check = int(part.items[place])
-                        best[row, check] = max(best.get((row, check), 0.0), score)
-                own: dict[int, np.ndarray] = {}
+                    for row, passage, place, score in part.passages(words):
+                        k = row, int(part.items[place])
+                        best[k] = max(best.get(k, 0.0), score)
+                        spots.setdefault(k, set()).add(passage)
                 for (row, check), score in sorted(best.items()):
-                    item, question, answer, whole = checks[check]
-                    if row not in own:
-                        own[row] = grams(texts[row], (1, 2, 3))
-                    q = float(np.isin(question, own[row]).mean())
-                    a = float(np.isin(answer, own[row]).mean()) if len(answer) else 1.0
-                    if (q >= OVERLAP and a >= OVERLAP) or near_copy(whole, words.hash[words.first[row] : words.first[row + 1]]):
-                        hits[begin + row].append({"item_id": item, "score": round(min(score, 1.0), 6), "question_overlap": round(q, 6), "answer_overlap": round(a, 6)})
+                    text, size = words.hash[words.first[row] : words.first[row + 1]], len(checks[check][2])
+                    around = (text[max(0, p * PIECE - size) : (p + 2) * PIECE + size] for p in sorted(spots[row, check]))
+                    if shares := next(filter(None, (verdict(check, w) for w in around)), None):
+                        hits[begin + row].append({"item_id": checks[check][0], "score": round(min(score, 1.0), 6), "question_overlap": round(shares[0], 6), "answer_overlap": round(shares[1], 6)})
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], names=[*b.schema.names, "hits"])
+            kept = [i for i, name in enumerate(b.schema.names) if name != "hits"]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array([sorted(h, key=lambda x: x["item_id"]) for h in hits], kind)], names=[*(b.schema.names[i] for i in kept), "hits"])
 
-    docs = docs.drop("hits")
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "hits")
     return docs.mapInArrow(search, f"{columns}, hits {HITS}")
