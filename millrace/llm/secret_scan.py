@@ -58,28 +58,57 @@ ALPHA = 0.01
 P_BINS = 400
 
 SPAN = "struct<begin:bigint,kind:int,finish:bigint>"
+TOKEN_SPAN = "struct<begin:bigint,kind:int,finish:bigint,token:string>"
 
 
-def pattern_spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None = None) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, start: int, combine) -> Column:
+    """For each element of an array of longs, combine() of all up to it; start is neutral.
+
+    In blocks of about the root of the array's size, so that n elements cost n**1.5 copies and not n**2.
+    """
+    first = F.lit(start).cast("long")
+    longs = F.array().cast("array<long>")
+
+    def folded(xs: Column) -> Column:
+        begin = F.struct(first.alias("last"), longs.alias("all"))
+        step = lambda acc, x: let(combine(acc["last"], x), lambda y: F.struct(y.alias("last"), F.concat(acc["all"], F.array(y)).alias("all")))
+        return F.aggregate(xs, begin, step, lambda acc: acc["all"])
+
+    def blocked(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(xs), size), lambda at: folded(F.slice(xs, at, size)))
+
+        def joined(parts: Column) -> Column:
+            ends = folded(F.transform(parts, lambda x: F.element_at(x, -1)))
+            return F.flatten(F.transform(parts, lambda x, i: let(F.when(i == 0, first).otherwise(F.get(ends, i - 1)), lambda before: F.transform(x, lambda y: combine(before, y)))))
+
+        return let(blocks, joined)
+
+    return F.when(F.size(values) == 0, longs).otherwise(let(values, blocked))
+
+
+def pattern_spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None = None, with_text: bool = False) -> Column:
     """Spans of the leftmost non-overlapping matches, from the lengths of matches and of the gaps between them.
 
-    least: a group of the pattern and the characters it must have.
+    least: a group of the pattern and the characters it must have.  with_text: the matches too, as `token`.
     """
     p = F.lit(pattern)
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
-    long_enough = F.transform(F.regexp_extract_all(text, p, F.lit(least[0])), lambda g: F.length(g) >= least[1]) if least else F.transform(whole, lambda _: F.lit(True))
-    steps = F.zip_with(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"))), long_enough, lambda s, ok: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), ok.alias("ok"))
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    kept = F.transform(F.regexp_extract_all(text, p, F.lit(least[0])), lambda g: F.length(g) >= least[1]) if least else F.transform(whole, lambda _: F.lit(True))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["gap"]
-        span = F.struct(begin.alias("begin"), F.lit(kind).alias("kind"), (begin + s["size"]).alias("finish"))
-        return F.struct((begin + s["size"]).alias("at"), F.when(s["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(matches: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: (F.length(g) + F.length(m)).cast("long")), 0, lambda a, b: a + b)
+        token = (lambda m: [m.alias("token")]) if with_text else (lambda m: [])
+        made = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("begin"), F.lit(kind).alias("kind"), e.alias("finish"), *token(m)))
+        paired = F.zip_with(made, kept, lambda s, ok: F.struct(s.alias("span"), ok.alias("ok")))
+        return F.transform(F.filter(paired, lambda x: x["ok"]), lambda x: x["span"])
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern), let(whole, spans)).otherwise(F.array().cast(f"array<{TOKEN_SPAN if with_text else SPAN}>"))
 
 
 def encoding_of(token: Column) -> Column:
@@ -89,11 +118,6 @@ def encoding_of(token: Column) -> Column:
     return F.when(token.rlike("^[0-9]+=*$|^[0-9a-f]+$"), F.lit(None)).otherwise(out)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def text_decades(t: Column, alphabet: str) -> Column:
     """Decades by which a run is likelier as uniform over the alphabet than as words and numbers."""
     total = sum(TEXT_LETTERS.values())
@@ -117,7 +141,8 @@ def battery(token: Column, code: int) -> Column:
 
     def tests(t: Column) -> Column:
         n = t["n"]
-        squares = F.aggregate(t["chars"], F.lit(0.0), lambda acc, c: acc + n - F.length(F.replace(t["plain"], c, F.lit(""))))
+        count = lambda c: n - F.length(F.replace(t["plain"], c, F.lit("")))
+        squares = F.aggregate(F.array(*map(F.lit, alphabet)), F.lit(0.0), lambda acc, c: acc + let(count(c), lambda k: k * k))
         halves, ones = t["halves"], t["ones"]
         turns = (2 * n - F.length(F.replace(halves, F.lit("01"), F.lit(""))) - F.length(F.replace(halves, F.lit("10"), F.lit("")))) / 2
         index = F.transform(t["chars"], lambda c: F.position(c, F.lit(alphabet)).cast("double") - (a + 1) / 2)
@@ -180,26 +205,32 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     cut = discovery_bin(docs.select(F.col("text").cast("string").alias("text")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(pattern_spans(text, ASSIGN, 0, (2, ASSIGN_LENGTH)), pattern_spans(text, ACCESS, 1), pattern_spans(text, HEX, 2)))
-    out = docs.withColumns({"__text": text}).withColumns({"base": base, "__runs": pattern_spans(F.col("__text"), CANDIDATE, 3)})
-    flagged = F.filter(
-        "__runs",
-        lambda s: F.coalesce(
-            ~F.exists("base", lambda b: (b["begin"] <= s["begin"]) & (b["finish"] >= s["finish"]))
-            & let(verdict(F.substring(F.col("__text"), (s["begin"] + 1).cast("int"), (s["finish"] - s["begin"]).cast("int"))), lambda v: v["random"] & (v["bin"] >= cut)),
-            F.lit(False),
-        ),
-    )
-    return out.withColumn("spans", F.array_sort(F.concat("base", flagged))).drop("__text", "__runs")
+    runs = pattern_spans(text, CANDIDATE, 3, with_text=True)
+    known = lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["finish"].alias("finish"))
+
+    def flagged(every: Column) -> Column:
+        # base spans that begin no later stand before a run: it lies in one of them if the furthest end of these is not before its own
+        tops = running(F.transform(every, lambda s: F.when(s["kind"] < 3, s["finish"]).otherwise(F.lit(0).cast("long"))), 0, F.greatest)
+        kept = lambda x: (x["s"]["kind"] < 3) | ((x["top"] < x["s"]["finish"]) & F.coalesce(let(verdict(x["s"]["token"]), lambda v: v["random"] & (v["bin"] >= cut)), F.lit(False)))
+        return F.transform(F.filter(F.zip_with(every, tops, lambda s, top: F.struct(s.alias("s"), top.alias("top"))), kept), lambda x: known(x["s"]))
+
+    out = docs.withColumns({"base": base, "__runs": runs})
+    tagged = F.transform("base", lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["finish"].alias("finish"), F.lit(None).cast("string").alias("token")))
+    spans = F.when(F.size("__runs") == 0, F.col("base")).otherwise(let(F.array_sort(F.concat(tagged, "__runs")), flagged))
+    return out.withColumn("spans", spans).drop("__runs")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every span, or group of overlapping spans, replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["begin"] - acc["at"]).cast("int"))
-        fresh = s["begin"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(between, F.lit(mark)))).otherwise(acc["parts"]).alias("parts"))
+    def whole(chars: Column) -> Column:
+        cut = lambda a, b: F.array_join(F.slice(chars, (a + 1).cast("int"), (b - a).cast("int")), "")
+
+        def built(ends: Column) -> Column:
+            before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1))
+            parts = F.transform(spans, lambda s, i: let(before(i), lambda at: F.when(s["begin"] >= at, F.concat(cut(at, s["begin"]), F.lit(mark))).otherwise(F.lit(""))))
+            return F.concat(F.array_join(parts, ""), cut(F.element_at(ends, -1), F.size(chars).cast("long")))
+
+        return let(running(F.transform(spans, lambda s: s["finish"]), 0, F.greatest), built)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.split(text, ""), whole)).otherwise(text)
