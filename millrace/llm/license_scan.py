@@ -1,41 +1,44 @@
-"""License scans: a positional rare-token index over licence statements.
+"""License scans: a positional rare-token index over licence texts.
 
-Base: places where the words of a phrase of PHRASES stand consecutively.  Method: the inverse document frequency of every
-word of the licence templates is counted over the whole corpus; every template is looked up by the rarest word of its key
-phrase, whose posting (template, position) turns every occurrence into an alignment of the template with the file; a template
-is found where at least MATCH of its words stand at their places and its key phrase does in full.  No such place is missed.
+Base: places where the words of a phrase of PHRASES stand consecutively.  Method: the inverse document frequency of the
+words of the licences' key phrases is counted over the whole corpus; every licence text is looked up by the rarest word of its
+key phrase, whose posting (text, position) turns every occurrence into a relative position of the text in the file; the text's
+words are looked for at their own positions from there, up to `drift` words off (a word in DRIFT, so that words put in or left
+out break nothing); a text is found where its key phrase stands in full and at least MATCH of its words do.  No such place is
+missed, however common the words are, and every text has a look-up word of its own.
 
-Plan.  DataFrame functions only.  One pass counts the document frequencies of the template words (a vocabulary of fixed
-size), a second judges each row by itself: no shuffle of text, no join, so hot sources and long files need no care.
+Plan.  DataFrame functions only.  One pass counts the document frequencies of the key words (a vocabulary of fixed size;
+documents that hold none of them as a string are not split into words), a second judges each row by itself: no shuffle of
+text, no join, so hot sources and long files need no care.
 
 Defined results.  Null and empty texts have no words, no places, no labels and score 0.0.  score is 1.0 where a base phrase
-stands, else the best share of a found template's words that stand at their places.
+stands, else the best share of a found text's words that stand at their places.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.license_texts import TEXTS
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Label, statement and key phrase that must stand in full (fixed values).
-TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-)
 MATCH = 0.75
+#: Words of a text that allow its words to stand one place further off.
+DRIFT = 16
+
+
+def split_words(text: str) -> list[str]:
+    return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+#: Label, words and words of the key phrase of each text.
+TEMPLATES = tuple((label, split_words(text), split_words(key)) for label, text, key in TEXTS)
 
 
 def let(value: Column, body) -> Column:
@@ -43,9 +46,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; the cheaper function where the text is all ASCII."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
 
 
 def stands(words: Column, at: Column, phrase: list[str], begin: int = 0) -> Column:
@@ -63,57 +71,67 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[-1]), F.filter(everywhere, lambda i: stands(words, i, parts))).otherwise(F.array().cast("array<int>"))
 
 
-def document_frequencies(worded: DataFrame) -> dict[str, int]:
-    """Documents with each template word that stands in any."""
-    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-    present = worded.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words"))).alias("word"))
+def key_place(words: list[str], key: list[str]) -> int:
+    """Position of a key phrase's first word among the words of its text."""
+    return next(j for j in range(len(words)) if words[j : j + len(key)] == key)
+
+
+def look_up_words() -> list[list[str]]:
+    """For each text the words of its key phrase that may be looked up: its longest ones, as these are cheap to rule out."""
+    return [sorted(set(key), key=lambda w: (-len(w), w))[:2] for _, _, key in TEMPLATES]
+
+
+def document_frequencies(docs: DataFrame) -> dict[str, int]:
+    """Documents with each look-up word that stands in any."""
+    vocabulary = sorted({w for words in look_up_words() for w in words})
+    folded = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))  # for ASCII words no less than lowered() has
+    maybe = docs.where(F.exists(F.array(*map(F.lit, vocabulary)), lambda w: F.contains(folded, w)))
+    present = maybe.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words_of(F.col("text")))).alias("word"))
     return {r.word: r.n for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
 
 
 def anchors(frequency: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """(template, position) of the rarest word of each template's key phrase, by word.
+    """(text, position) of the rarest look-up word of each text's key phrase, by word.
 
-    The key phrase of a found template stands in full, so none is found without this word at its position.
+    The key phrase of a found text stands in full, so none is found without this word at its position.
     """
     out: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, key) in enumerate(TEMPLATES):
-        word = min(key.split(), key=lambda w: (frequency.get(w, 0), w))
-        out.setdefault(word, []).append((t, key_place(text, key) + key.split().index(word)))
+    for t, ((_, words, key), choices) in enumerate(zip(TEMPLATES, look_up_words())):
+        word = min(choices, key=lambda w: (frequency.get(w, 0), w))
+        out.setdefault(word, []).append((t, key_place(words, key) + key.index(word)))
     return out
 
 
-def key_place(text: str, key: str) -> int:
-    """Position of a key phrase's first word among the words of its template."""
-    parts, wanted = text.split(), key.split()
-    return next(j for j in range(len(parts)) if parts[j : j + len(wanted)] == wanted)
-
-
 def found_templates(words: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
-    """array<struct<label, score>> of the templates that align with the words at one of the postings."""
+    """array<struct<label, score>> of the texts that align with the words at one of the postings."""
     kind = "array<struct<label:string,score:double>>"
-    post = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(j).alias("at")) for t, j in places)))])
+    listed = json.dumps([{"label": label, "words": w, "key": key, "at": key_place(w, key), "drift": -(-len(w) // DRIFT)} for label, w, key in TEMPLATES])
+    templates = F.from_json(F.lit(listed), "array<struct<label:string,words:array<string>,key:array<string>,at:int,drift:int>>")
+    post = F.from_json(F.lit(json.dumps({w: [{"t": t, "at": j} for t, j in places] for w, places in postings.items()})), "map<string,array<struct<t:int,at:int>>>")
     known = F.array(*map(F.lit, postings))
 
-    def aligned(c: Column) -> Column:
-        begin = c["begin"]
-        out = F.lit(None).cast("struct<label:string,score:double>")
-        for t, (label, text, key) in reversed(list(enumerate(TEMPLATES))):
-            parts = text.split()
-            hits = sum((F.coalesce((F.get(words, begin + j) == w).cast("int"), F.lit(0)) for j, w in enumerate(parts)), F.lit(0))
-            full = stands(words, begin, key.split(), key_place(text, key))
-            out = F.when(c["t"] == t, F.when(full, F.struct(F.lit(label).alias("label"), (hits / len(parts)).alias("score")))).otherwise(out)
-        return out
+    def near(begin: Column, j: Column, t: Column) -> Column:
+        """Whether word j of the text stands at its position, or up to drift words off."""
+        low = F.greatest(begin + j - t["drift"], F.lit(0))
+        return F.array_contains(F.slice(words, low + 1, F.greatest(begin + j + t["drift"] + 1 - low, F.lit(0))), F.get(t["words"], j))
+
+    def aligned(c: Column, t: Column) -> Column:
+        size = F.size(t["words"])
+        hits = F.size(F.filter(F.sequence(F.lit(0), size - 1), lambda j: near(c["begin"], j, t)))
+        at = c["begin"] + t["at"]
+        full = (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+        return F.when(full, F.struct(t["label"].alias("label"), (hits / size).alias("score")))
 
     spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(known, s["w"]))
     begins = F.flatten(F.transform(spots, lambda s: F.transform(F.element_at(post, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["at"]).alias("begin")))))
-    looked_up = F.filter(F.transform(begins, aligned), lambda a: a.isNotNull() & (a["score"] >= MATCH))
+    looked_up = F.filter(F.transform(begins, lambda c: let(F.get(templates, c["t"]), lambda t: aligned(c, t))), lambda a: a.isNotNull() & (a["score"] >= MATCH))
     return F.when(F.arrays_overlap(words, known), looked_up).otherwise(F.array()).cast(kind)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    postings = anchors(document_frequencies(docs))
     worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    postings = anchors(document_frequencies(worded))
     base = [places(F.col("words"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(PHRASES)]
     out = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), *base, found_templates(F.col("words"), postings).alias("found"))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
