@@ -1,18 +1,22 @@
 """HTML extraction by nearest-URL page differencing.
 
-Every page is paired with the page whose URL path is nearest to its own among the pages of its host, the text lines of the
-two are aligned by longest common subsequence, and lines that both pages share are deleted as site furniture.  The page's
-own structure overrules the comparison where it speaks plainly: lines inside an article (or main) element stay even if
-another page repeats them, and lines inside navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments go even if they are unique.  The comparison decides all other lines.
-
-Plan.  (1) URLs alone are range-partitioned and sorted by host and path; each partition pairs its neighbours, and only
-the first and last URL of each partition meet again in one small task, so a host with a third of all pages is spread
-over many tasks.  (2) Line hashes of each page are sent once to the page that compares itself with them.  (3) The deleted
-line numbers, usually none or few, are joined back to the parsed lines by page id.
-
-Defined results.  Null html is empty text; a page alone on its host is decided by structure; null or unparsable URLs
-form a host of their own; repeated rows are compared like any other pages and each returns its own row.
+Every page is paired with the page whose URL path is nearest to its own among the pages of its host that have other text,
+the text lines of the two are aligned by longest common subsequence, and lines that both pages share are deleted as site
+furniture.  The page's own structure overrules the comparison where it speaks plainly: lines inside an article (or main)
+element stay even if another page repeats them, and lines inside navigation, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles or reader comments go even if they are unique.  The comparison decides all other lines, but for pages
+of which it would leave nothing: these keep their lines.
+
+Plan.  (1) Pages are parsed once; their lines and line hashes are shuffled once by row, and all that follows reads that
+exchange.  (2) Pages of one host with the same lines are copies and take part once, as the one with the least path.
+(3) URLs alone are range-partitioned, sorted by host and path and written; each partition pairs its neighbours, and only the
+first and last URL of each partition meet again on the driver, so a host with a third of all pages is spread over many tasks.
+(4) Line hashes of each page are sent once to the page that compares itself with them; the alignment takes memory in line with
+the lines.  (5) The deleted line numbers, usually none or few, are joined back to the lines.
+
+Defined results.  Null html is empty text; a page alone on its host, or with copies of itself only, is decided by structure;
+null or unparsable URLs form a host of their own.  Rows equal in page_id, url and html are one page and each return a row.
+Ties between two neighbours go to the earlier in order of path and row.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.near_dedup import checkpointed
+
 MAIN, OTHER = 1, 0
 #: Elements whose content is never main text.
 DROPPED = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg object canvas dialog menu title".split())
@@ -126,8 +132,50 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
+#: Bits of alignment rows that are held at once; longer pages are halved first.
+ALIGN_BITS = 1 << 26
+
+
+class Masks:
+    """For a value of b the bits of its places; those of rare values are made when asked for, so that memory stays small."""
+
+    def __init__(self, b: list[int]) -> None:
+        self.size = len(b)
+        self.places: dict[int, list[int]] = {}
+        for j, x in enumerate(b):
+            self.places.setdefault(x, []).append(j)
+        self.kept = {x: self.made(found) for x, found in self.places.items() if len(found) >= 64}
+
+    def made(self, found: list[int]) -> int:
+        if len(found) <= 8:
+            return sum(1 << j for j in found)
+        flags = np.zeros(self.size, dtype=np.uint8)
+        flags[found] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def __getitem__(self, x: int) -> int:
+        return self.kept[x] if x in self.kept else self.made(self.places.get(x, []))
+
+
+def advance(row: int, m: int, full: int) -> int:
+    """The next bit-parallel row: a zero bit j says that b[j] lengthens the common part of what was read of a."""
+    u = row & m
+    return ((row + u) | (row - u)) & full
+
+
+def common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a and each b[:j]."""
+    masks, full = Masks(b), (1 << len(b)) - 1
+    row = full
+    for x in a:
+        if x in masks.places:
+            row = advance(row, masks[x], full)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b (bit-parallel rows, read back from the end)."""
+    """Positions in a of a longest common subsequence of a and b, in memory of ALIGN_BITS and the lines (Hirschberg's halving)."""
     out, low = [], 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         out.append(low)
@@ -137,29 +185,28 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
         high += 1
     tail = list(range(len(a) - high, len(a)))
     a, b = a[low : len(a) - high], b[low : len(b) - high]
-    if a and b:
-        where: dict[int, int] = {}
-        for j, x in enumerate(b):
-            where[x] = where.get(x, 0) | 1 << j
-        full = (1 << len(b)) - 1
-        row, rows = full, []
-        for x in a:
-            m = where.get(x, 0)
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-            rows.append(row)
-        # a zero bit j of row i says that b[j] lengthens the common part of a[:i+1]
-        i, j, found = len(a) - 1, len(b) - 1, []
-        while i >= 0 and j >= 0:
-            if rows[i] >> j & 1:
-                j -= 1
-            elif i and not rows[i - 1] >> j & 1:
-                i -= 1
-            else:
-                found.append(low + i)
-                i, j = i - 1, j - 1
-        out += found[::-1]
-    return out + tail
+    if not a or not b:
+        return out + tail
+    if len(a) > 1 and len(a) * len(b) > ALIGN_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(common_lengths(a[:half], b) + common_lengths(a[half:][::-1], b[::-1])[::-1]))
+        found = shared_lines(a[:half], b[:cut]) + [half + i for i in shared_lines(a[half:], b[cut:])]
+        return out + [low + i for i in found] + tail
+    masks, full = Masks(b), (1 << len(b)) - 1
+    row, rows = full, []
+    for x in a:
+        row = advance(row, masks[x], full)
+        rows.append(row)
+    i, j, found = len(a) - 1, len(b) - 1, []
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:
+            j -= 1
+        elif i and not rows[i - 1] >> j & 1:
+            i -= 1
+        else:
+            found.append(low + i)
+            i, j = i - 1, j - 1
+    return out + found[::-1] + tail
 
 
 def url_key():
@@ -186,7 +233,8 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 
     The two neighbours in that order have the longest common prefixes of all pages of the host; ties go to the earlier.
     """
-    spread = pages.repartitionByRange("host", "path", "row_id").sortWithinPartitions("host", "path", "row_id")
+    # written, as a second run would sample other bounds
+    spread = checkpointed(pages.repartitionByRange("host", "path", "row_id").sortWithinPartitions("host", "path", "row_id"))
     kind = "first_host string, first_path string, first_id string, last_host string, last_path string, last_id string"
 
     def edges(batches):
@@ -229,25 +277,28 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_lines, n_deleted (lines outside articles that the nearest page shares)."""
     pages = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    row_id = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.sha1(F.coalesce(F.col("url"), F.lit("")).cast("binary")))
+    row_id = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.xxhash64("url").cast("string"), F.lit("")), "html").cast("binary"))
     keyed = pages.withColumn("row_id", row_id)
-    partners = nearest_pages(keyed.select(*url_key(), "row_id").distinct())
 
     def parse(batches):
-        for b in batches:
-            found = [page_lines(x) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string())), pa.array([[k for _, k in p] for p in found], pa.list_(pa.int32()))], names=[*b.schema.names[1:], "lines", "kinds"]
-            )
-
-    def hashed(batches):
         import xxhash
 
         for b in batches:
-            found = [[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in page_lines(p)] for p in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.array(h, dtype=np.uint64).view(np.int64) for h in found], pa.list_(pa.int64()))], names=["row_id", "hashes"])
+            found = [page_lines(x) for x in b.column(0).to_pylist()]
+            hashes = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in p], dtype=np.uint64).view(np.int64) for p in found]
+            lists = [([x for x, _ in p], [k for _, k in p]) for p in found]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[1:], pa.array([x for x, _ in lists], pa.list_(pa.string())), pa.array([k for _, k in lists], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in hashes])],
+                names=[*b.schema.names[1:], "lines", "kinds", "hashes", "digest"],
+            )
 
-    hashes = keyed.select("html", "row_id").mapInArrow(hashed, "row_id string, hashes array<long>").groupBy("row_id").agg(F.max("hashes").alias("hashes"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.select("page_id", "url", "row_id").schema)
+    parsed = keyed.select("html", "page_id", "url", "row_id").mapInArrow(parse, f"{schema}, lines array<string>, kinds array<int>, hashes array<long>, digest string").repartition("row_id")
+    hashes = parsed.groupBy("row_id").agg(F.first("hashes").alias("hashes"))
+    places = parsed.select(*url_key(), "row_id", "digest").distinct()
+    texts = places.groupBy("host", "digest").agg(F.min(F.struct("path", "row_id")).alias("at"))
+    firsts = texts.select("host", "at.path", "at.row_id")
+    partners = nearest_pages(firsts)
     asked = partners.where("partner_id is not null").join(hashes.withColumnsRenamed({"row_id": "partner_id", "hashes": "others"}), "partner_id").join(hashes, "row_id")
 
     def compare(batches):
@@ -257,15 +308,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if shared := shared_lines(mine, others):
                     kept.append(row)
                     deleted.append(shared)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(deleted, pa.list_(pa.int32()))], names=["row_id", "shared"])
-
-    shared = asked.select("row_id", "hashes", "others").mapInArrow(compare, "row_id string, shared array<int>")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.select("page_id", "url", "row_id").schema)
-    parsed = keyed.select("html", "page_id", "url", "row_id").mapInArrow(parse, f"{schema}, lines array<string>, kinds array<int>")
-    joined = parsed.join(shared, "row_id", "left")
-    kept = F.filter(
-        F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.get("kinds", i) == F.lit(MAIN)).alias("main"), F.coalesce(F.array_contains("shared", i), F.lit(False)).alias("shared"))),
-        lambda x: x["main"] | ~x["shared"],
-    )
-    out = joined.withColumn("kept", kept)
-    return out.select("page_id", "url", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_deleted"))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(deleted, pa.list_(pa.int32()))], names=["first_id", "shared"])
+
+    compared = asked.select("row_id", "hashes", "others").mapInArrow(compare, "first_id string, shared array<int>")
+    copies = places.join(texts.select("host", "digest", F.col("at.row_id").alias("first_id")), ["host", "digest"]).select("row_id", "first_id")
+    joined = parsed.drop("hashes", "digest").join(copies.join(compared, "first_id").select("row_id", "shared"), "row_id", "left")
+    tagged = F.transform("lines", lambda x, i: F.struct(x.alias("line"), ((F.get("kinds", i) == F.lit(MAIN)) | ~F.coalesce(F.array_contains("shared", i), F.lit(False))).alias("stays")))
+    own = F.transform(F.filter(tagged, lambda x: x["stays"]), lambda x: x["line"])
+    kept = F.when(F.col("shared").isNull(), F.col("lines")).when(F.size("own") > 0, F.col("own")).otherwise(F.col("lines"))
+    out = joined.withColumn("own", F.when(F.col("shared").isNotNull(), own)).withColumn("kept", kept)
+    return out.select("page_id", "url", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_deleted"))
