@@ -3,16 +3,20 @@
 A line that begins with > marks is quoted at the level of their number; runs of lines of one level are passages.  Passages are
 normalised (marks off, white space and case folded, attribution lines dropped) and hashed, whole and line by line; hashes
 of quoted passages are joined to hashes of what other messages say themselves.  A message replies to the message that
-most of its first-level quotes come from; reply chains give every message its thread's root, its depth and a path by
-which a thread sorts into reply order.
+most of its first-level quotes come from (of several with as many, the latest); reply chains give every message its thread's
+root, its depth and its position in reply order: a message stands before its replies, replies stand in order of (conv_id,
+turn), and all that replies to one stands before the next.
 
-Plan.  Originals are reduced to the first message of each (hash, conversation) and of each hash before the join, so the
-side that quotes look up has one row a key and a passage that everybody quotes meets no list.  Roots are found by pointer
-jumping over reply edges only.  No conversation is gathered into one task.
+Plan.  Texts are parsed once for hashes, which are written, and once to take out the quotes.  Originals are reduced to the
+first message of each (hash, conversation) and of each hash before the join, so the side that quotes look up has one row a
+key: a passage that everybody quotes is a skewed join of many rows with one, which adaptive execution splits.  Roots, depths,
+sizes of threads below a message and positions are sums along reply chains, found by pointer jumping over linked messages
+only, in as many rounds as the logarithm of the depth and a few numbers a message; sums over the replies to one message run
+along a range-partitioned order, so that a message with very many replies is not one task's.
 
 Defined results.  A message can only quote an earlier turn of its own conversation, or else the first message elsewhere
 that says the passage, if that one's (conv_id, turn) is smaller and the passage has LEAST_CHARS characters or more.  Null text is empty; null conv_id or turn: the message
-is its own root and nobody's parent.  Rows with one (conv_id, turn) share links and each return a row.
+is its own root and nobody's parent.  Rows with one (conv_id, turn) share links and each return a row.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +105,8 @@ def link_replies(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64())), pa.array(quotes, kind)], names=["conv_id", "turn", "own", "far", "quotes"])
 
     placed = keyed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
-    parsed = placed.mapInArrow(parse, "conv_id long, turn long, own array<long>, far array<long>, quotes array<struct<level:int,passage:int,hash:bigint>>")
-    quotes = checkpointed(parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.passage", "q.hash").distinct())
+    parsed = checkpointed(placed.mapInArrow(parse, "conv_id long, turn long, own array<long>, far array<long>, quotes array<struct<level:int,passage:int,hash:bigint>>"))
+    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.passage", "q.hash").distinct()
     edges = None
     if not quotes.isEmpty():
         said = parsed.select("conv_id", "turn", F.explode("own").alias("hash"))
@@ -127,27 +131,82 @@ def link_replies(messages: DataFrame) -> DataFrame:
     if threads is not None:
         out = out.join(threads, ["conv_id", "turn"], "left")
     else:
-        point = "struct<conv_id:bigint,turn:bigint>"
-        out = out.withColumns({"n_linked": F.lit(None).cast("long"), "parent": F.lit(None).cast(point), "root": F.lit(None).cast(point), "steps": F.lit(None).cast(f"array<{point}>")})
-    steps = F.concat(F.coalesce(F.col("steps"), F.array()), F.array(F.struct("conv_id", "turn")))
-    path = F.array_join(F.transform(steps, lambda s: F.lpad(F.coalesce(s["turn"], F.lit(0)).cast("string"), 10, "0")), "/")
+        none = F.lit(None).cast("long")
+        out = out.withColumns({c: none for c in ("n_linked", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "position")})
+    zero = F.lit(0).cast("long")
     return out.select(
-        "conv_id", "turn", "role", "own_text", "n_quotes",
-        F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
-        F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
-        F.coalesce("root.conv_id", "conv_id").alias("root_conv"), F.coalesce("root.turn", "turn").alias("root_turn"),
-        (F.size(steps) - 1).cast("long").alias("depth"), path.alias("path"),
+        "conv_id", "turn", "role", "own_text", "n_quotes", F.coalesce("n_linked", zero).alias("n_linked"), "parent_conv", "parent_turn",
+        F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"),
+        F.coalesce("depth", zero).alias("depth"), F.coalesce("position", zero).alias("position"),
     )
 
 
 def reply_threads(edges: DataFrame) -> DataFrame:
-    """edges with root and steps (the ancestors from the root to the parent), by pointer jumping."""
-    state = edges.select("conv_id", "turn", F.col("parent").alias("top"), F.array("parent").alias("steps")).where("top is not null")
-    state = checkpointed(state)
+    """n_linked, parent, root, depth and position (from 0 at the root) of every message of edges."""
+    point = lambda c: F.struct(F.col(f"{c}.conv_id").alias("conv_id"), F.col(f"{c}.turn").alias("turn"))
+    linked = edges.where("parent is not null").select(F.struct("conv_id", "turn").alias("node"), point("parent").alias("up"))
+    nodes = checkpointed(linked.unionByName(linked.select(F.col("up").alias("node")).distinct().join(linked.select("node"), "node", "left_anti").withColumn("up", F.lit(None).cast("struct<conv_id:bigint,turn:bigint>"))))
+    sized = subtree_sizes(nodes)
+    steps = reply_offsets(sized).unionByName(sized.where("up is null").select("node", "up", F.lit(0).cast("long").alias("step")))
+    state = checkpointed(steps.select("node", F.coalesce("up", "node").alias("root"), "up", F.col("step").alias("position"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("root").alias("r"), F.col("up").alias("u"), F.col("position").alias("p"), F.col("depth").alias("d"))
+        zero = F.lit(0).cast("long")
+        jumped = state.join(above, "up", "left")
+        state = checkpointed(jumped.select("node", F.coalesce("r", "root").alias("root"), F.col("u").alias("up"), (F.col("position") + F.coalesce("p", zero)).alias("position"), (F.col("depth") + F.coalesce("d", zero)).alias("depth")))
+    found = state.select("node.conv_id", "node.turn", F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth", "position")
+    return found.join(edges.select("conv_id", "turn", "n_linked", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn")), ["conv_id", "turn"], "full")
+
+
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """nodes (node, up) with size: messages at and below each, by doubling the distance that is counted."""
+    state = nodes.select("node", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"))
     while True:
-        up = state.select(F.struct("conv_id", "turn").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"))
-        jumped = state.join(up, "top", "left")
-        if jumped.where("next is not null").isEmpty():
-            break
-        state = checkpointed(jumped.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), F.concat(F.coalesce("more", F.array().cast("array<struct<conv_id:bigint,turn:bigint>>")), "steps").alias("steps")))
-    return edges.join(state.select("conv_id", "turn", F.col("top").alias("root"), "steps"), ["conv_id", "turn"], "left")
+        below = state.where("jump is not null").groupBy("jump").agg(F.sum("size").alias("more"))
+        far = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
+        grown = state.join(below.withColumnRenamed("jump", "node"), "node", "left").join(far, "jump", "left")
+        state = checkpointed(grown.select("node", "up", F.col("next").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0).cast("long"))).alias("size")))
+        if state.where("jump is not null").isEmpty():
+            return state.select("node", "up", "size")
+
+
+def reply_offsets(sized: DataFrame) -> DataFrame:
+    """node, up and step of every reply: 1 and the sizes of the earlier replies to the same message.
+
+    Running sums over the order of (up, node), with what is open at the end of each partition handed on by the driver.
+    """
+    flat = sized.where("up is not null").select(F.col("up.conv_id").alias("uc"), F.col("up.turn").alias("ut"), F.col("node.conv_id").alias("c"), F.col("node.turn").alias("t"), "size")
+    dealt = flat.repartitionByRange("uc", "ut", "c", "t").sortWithinPartitions("uc", "ut", "c", "t")
+    spread = checkpointed(dealt.withColumn("part", F.spark_partition_id().cast("long")))
+
+    def ends(batches):
+        last, total, whole, part = None, 0, True, None
+        for b in batches:
+            for uc, ut, size, at in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5))):
+                if (uc, ut) != last:
+                    whole, last, total = last is None, (uc, ut), 0
+                total, part = total + size, at
+        if last:
+            yield pa.RecordBatch.from_pylist([{"part": part, "uc": last[0], "ut": last[1], "total": total, "whole": whole}])
+
+    # one row a partition: its last message that is replied to, the sizes there, and whether that is all the partition has
+    carried, open_sum = {}, (None, 0)
+    for r in sorted(spread.mapInArrow(ends, "part long, uc long, ut long, total long, whole boolean").collect(), key=lambda r: r.part):
+        carried[r.part] = open_sum
+        open_sum = ((r.uc, r.ut), r.total + (open_sum[1] if r.whole and open_sum[0] == (r.uc, r.ut) else 0))
+
+    def steps(batches):
+        last, total = None, None
+        for b in batches:
+            out = []
+            for uc, ut, size, part in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5))):
+                if total is None:
+                    last, total = carried[part]
+                if (uc, ut) != last:
+                    last, total = (uc, ut), 0
+                out.append(total + 1)
+                total += size
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.int64())], names=["uc", "ut", "c", "t", "step"])
+
+    named = lambda c, t: F.struct(F.col(c).alias("conv_id"), F.col(t).alias("turn"))
+    return spread.mapInArrow(steps, "uc long, ut long, c long, t long, step long").select(named("c", "t").alias("node"), named("uc", "ut").alias("up"), "step")

@@ -114,7 +114,7 @@ def test_quotes_link_replies(spark):
     assert got[1, 2].own_text == "\nWhich oven temperature works?".strip() and got[1, 1].own_text == "Mix, knead, and wait for an hour."
     assert (got[1, 2].n_quotes, got[1, 2].n_linked, got[3, 0].n_linked) == (2, 2, 0)
     assert {k: (r.root_conv, r.root_turn, r.depth) for k, r in got.items() if k in ((1, 4), (2, 0), (2, 1))} == {(1, 4): (1, 0, 2), (2, 0): (1, 0, 2), (2, 1): (2, 1, 0)}
-    thread = sorted((r for r in got.values() if (r.root_conv, r.root_turn) == (1, 0)), key=lambda r: r.path)
+    thread = sorted((r for r in got.values() if (r.root_conv, r.root_turn) == (1, 0)), key=lambda r: r.position)
     assert [(r.conv_id, r.turn) for r in thread] == [(1, 0), (1, 1), (1, 2), (1, 4), (1, 3), (2, 0)]
     assert got[4, 0].own_text == "" and got[None, 1].parent_conv is None
 
