@@ -36,7 +36,7 @@ LOG = logging.getLogger(__name__)
 
 
 def topic_of(text: Column) -> Column:
-    """Topic of a document without a topic column, by its form: table, shout, symbols, records or prose."""
+    """Stand-in for the topic of a document without a topic column, by its form: table, shout, symbols, records or prose."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     signs = n - F.length(F.translate(text, "#$%&*", ""))
@@ -47,8 +47,9 @@ def topic_of(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Number of words."""
-    return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) > 0, F.size(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " "))).otherwise(F.lit(0)).cast("long")
+    """Number of words `[^\\x20\\x09-\\x0D]+`."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(bare) > 0, F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(F.lit(0)).cast("long")
 
 
 def goal(axis: dict[str, float], wanted: dict[str, float] | None) -> dict[str, float]:
@@ -75,7 +76,8 @@ def raked(cells: dict[tuple[str, ...], float], goals: list[dict[str, float]]) ->
             factor = {v: wanted[v] / have[v] if have[v] > 0 else 0.0 for v in wanted}
             weight = {c: w * factor[c[i]] for c, w in weight.items()}
         if off < TOLERANCE:
-            break
+            return weight
+    LOG.warning("raking stopped after %s rounds, %.2e off its goals", ROUNDS, off)
     return weight
 
 
@@ -132,6 +134,8 @@ def bounded(cells: dict[tuple[str, ...], float], goals: list[dict[str, float]],
             factor[i] = np.minimum(np.where(loose > 0, f, np.maximum(tight, np.where(want > 0, 1.0, 0.0))), MOST)
         if off < TOLERANCE:
             break
+    else:
+        LOG.warning("raking stopped after %s rounds, %.2e off its goals", BOUNDED_ROUNDS, off)
     kept = tokens * np.minimum(1.0, np.prod([f[p] for f, p in zip(factor, places)], axis=0))
     return dict(zip(names, (kept / budget).tolist()))
 

@@ -95,8 +95,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
 
 
+#: Shares of the sample's tokens by language and by form; sources share by their tokens to the power of mixing.SMOOTHING.
+MIX_TARGETS = {"lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}, "topic": {"prose": 0.9}}
+MIX_SHARE = 0.3
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), MIX_SHARE, MIX_TARGETS)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "weight")
 
 

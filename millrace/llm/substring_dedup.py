@@ -9,7 +9,7 @@ hash and answers each block with those of its hashes that a smaller block has as
 comparison is local.  So a passage that a third of all documents share costs one entry a block and not one a document,
 no task holds more than a block or a bucket, and the text itself is shuffled once (both passes read the same exchange).
 Blocks and buckets are as many as the input needs, at a size that does not depend on it; nothing is collected but a
-fixed number of quantiles of doc_id.
+fixed number of quantiles of doc_id, weighted by the texts' kilobytes.  Rows without an id meet no other row and are not shuffled.
 
 Defined results.  Null text has no words.  A null doc_id is neither smaller nor larger than any other, so such a row
 loses nothing and costs others nothing; rows with equal ids do not remove each other's words.  Extra columns are ignored.
@@ -22,13 +22,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import U64, Words, encoded, pieces
+from millrace.llm.tokens import U64, Words, encoded, pieces, ranges
 
 #: Quantiles of doc_id that the block bounds are interpolated between.
-KNOTS = 1024
+KNOTS = 4096
+#: Bytes of text that a document counts once more for in the quantiles.
+KNOT_BYTES = 1024
 #: Windows that one bucket is meant to hold, and bounds of a block's text in bytes.
 BUCKET_WINDOWS = 1 << 20
 BLOCK_BYTES = (2 << 20, 128 << 20)
@@ -65,7 +68,9 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans of removed words (from 0, end exclusive), kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shares = [i / KNOTS for i in range(KNOTS + 1)]
-    size, knots = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", shares, 10 * KNOTS)).first()
+    counted = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    weighted = counted.select("doc_id", "size", F.posexplode(F.array_repeat(F.lit(0), (1 + F.col("size") / KNOT_BYTES).cast("int"))).alias("copy", "zero"))
+    size, knots = weighted.agg(F.sum(F.when(F.col("copy") == 0, F.col("size"))), F.percentile_approx("doc_id", shares, 10 * KNOTS)).first()
     size = size or 0
     block_bytes = min(max(int(math.sqrt(size * 65536)), BLOCK_BYTES[0]), BLOCK_BYTES[1])
     n_blocks = max(1, math.ceil(size / block_bytes))
@@ -78,16 +83,15 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     def deal(batches):
         for b in batches:
             ids = b.column(0)
-            place = np.interp(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), low, at)
+            place = np.interp(ids.to_numpy(zero_copy_only=False).astype(np.float64), low, at)
             place = np.minimum(np.floor(place), n_blocks - 1).astype(np.int64)
-            place[ids.is_null().to_numpy(zero_copy_only=False)] = -1
             yield pa.RecordBatch.from_arrays([pa.array(place), *b.columns], names=["block", "doc_id", "text"])
 
-    dealt = docs.mapInArrow(deal, "block long, doc_id long, text string")
+    dealt = docs.where("doc_id is not null").mapInArrow(deal, "block long, doc_id long, text string")
 
     def send(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        found = [h for *_, h in block_windows(table["text"], width)] if block >= 0 else []
+        found = [h for *_, h in block_windows(table["text"], width)]
         h = np.unique(np.concatenate(found)) if found else np.empty(0, U64)
         bucket = ((h >> U64(32)) * U64(n_buckets)) >> U64(32)
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U64))
@@ -111,14 +115,38 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
         told = [i for i in range(len(lists)) if cuts[i] < cuts[i + 1]]
         return pa.table({"block": pa.array([int(blocks[order[i]]) for i in told], pa.int64()), "hashes": pa.array([pack(h[cuts[i] : cuts[i + 1]]) for i in told], pa.binary())})
 
+    def result(ids: pa.Array, texts: pa.Array, gone: list[np.ndarray]) -> pa.Table:
+        """RESULT rows of texts; gone: first words of the windows that are removed from each."""
+        n_words, n_removed, spans, kept = [], [], [], []
+        for text, starts in zip(encoded(texts), gone):
+            words = text.split()
+            n_words.append(len(words))
+            if not len(starts):
+                n_removed.append(0)
+                spans.append([])
+                kept.append(b" ".join(words))
+                continue
+            breaks = np.flatnonzero(np.diff(starts) > width)
+            begins = np.concatenate([starts[:1], starts[breaks + 1]]).tolist()
+            ends = (np.concatenate([starts[breaks], starts[-1:]]) + width).tolist()
+            rest, after = [], 0
+            for a, b in zip(begins, ends):
+                rest += words[after:a]
+                after = b
+            rest += words[after:]
+            n_removed.append(len(words) - len(rest))
+            spans.append([{"begin": a, "finish": b} for a, b in zip(begins, ends)])
+            kept.append(b" ".join(rest))
+        span = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
+        return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+
     def remove(table: pa.Table, repeated: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         ids = table["doc_id"].combine_chunks()
         texts = table["text"].combine_chunks()
         n = len(texts)
-        local = bool(n) and table["block"][0].as_py() >= 0
         gone: list[np.ndarray] = [np.empty(0, np.int64)] * n
-        if local:
+        if n:
             value = ids.to_numpy()
             rank = np.zeros(n, dtype=np.int64)
             rank[1:] = np.cumsum(value[1:] != value[:-1])
@@ -139,29 +167,14 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
                 doc, start = doc[hit], start[hit]
                 cuts = np.searchsorted(doc, np.arange(n + 1))
                 gone = [start[cuts[i] : cuts[i + 1]] for i in range(n)]
-        n_words, n_removed, spans, kept = [], [], [], []
-        for text, starts in zip(encoded(texts), gone):
-            words = text.split()
-            n_words.append(len(words))
-            if not len(starts):
-                n_removed.append(0)
-                spans.append([])
-                kept.append(b" ".join(words))
-                continue
-            breaks = np.flatnonzero(np.diff(starts) > width)
-            begins = np.concatenate([starts[:1], starts[breaks + 1]]).tolist()
-            ends = (np.concatenate([starts[breaks], starts[-1:]]) + width).tolist()
-            rest, after = [], 0
-            for a, b in zip(begins, ends):
-                rest += words[after:a]
-                after = b
-            rest += words[after:]
-            n_removed.append(len(words) - len(rest))
-            spans.append([{"begin": a, "finish": b} for a, b in zip(begins, ends)])
-            kept.append(b" ".join(rest))
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
-        return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return result(ids, texts, gone)
+
+    def alone(batches):
+        for b in batches:
+            for begin, end in ranges(np.asarray(pc.binary_length(b.column(1)).fill_null(0))):
+                yield from result(b.column(0).slice(begin, end - begin), b.column(1).slice(begin, end - begin), [np.empty(0, np.int64)] * (end - begin)).to_batches()
 
     sent = dealt.groupBy("block").applyInArrow(send, "bucket long, block long, hashes binary")
     repeated = sent.groupBy("bucket").applyInArrow(count, "block long, hashes binary")
-    return dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(remove, RESULT)
+    compared = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(remove, RESULT)
+    return compared.unionByName(docs.where("doc_id is null").mapInArrow(alone, RESULT))
