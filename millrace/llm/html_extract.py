@@ -7,12 +7,13 @@ element stay even if another page repeats them, and lines inside navigation, hea
 forms, scripts, styles or reader comments go even if they are unique.  The comparison decides all other lines, but for pages
 of which it would leave nothing: these keep their lines.
 
-Plan.  (1) Pages are parsed once; their lines and line hashes are shuffled once by row, and all that follows reads that
-exchange.  (2) Pages of one host with the same lines are copies and take part once, as the one with the least path.
+Plan.  (1) Pages are parsed for the hashes of their lines, which are written (a few bytes a line, where the lines would
+double the disk that the last join takes).  (2) Pages of one host with the same lines are copies and take part once, as the one with the least path.
 (3) URLs alone are range-partitioned, sorted by host and path and written; each partition pairs its neighbours, and only the
 first and last URL of each partition meet again on the driver, so a host with a third of all pages is spread over many tasks.
 (4) Line hashes of each page are sent once to the page that compares itself with them; the alignment takes memory in line with
-the lines.  (5) The deleted line numbers, usually none or few, are joined back to the lines.
+the lines.  (5) The deleted line
+numbers, usually none or few, are joined to the lines of a second parse.
 
 Defined results.  Null html is empty text; a page alone on its host, or with copies of itself only, is decided by structure;
 null or unparsable URLs form a host of their own.  Rows equal in page_id, url and html are one page and each return a row.
@@ -280,22 +281,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     row_id = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.xxhash64("url").cast("string"), F.lit("")), "html").cast("binary"))
     keyed = pages.withColumn("row_id", row_id)
 
-    def parse(batches):
+    def mark(batches):
         import xxhash
 
+        for b in batches:
+            hashes = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in page_lines(p)], dtype=np.uint64).view(np.int64) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(hashes, pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in hashes], pa.string())], names=[*b.schema.names[1:], "hashes", "digest"])
+
+    def parse(batches):
         for b in batches:
             found = [page_lines(x) for x in b.column(0).to_pylist()]
-            hashes = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in p], dtype=np.uint64).view(np.int64) for p in found]
-            lists = [([x for x, _ in p], [k for _, k in p]) for p in found]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([x for x, _ in lists], pa.list_(pa.string())), pa.array([k for _, k in lists], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in hashes])],
-                names=[*b.schema.names[1:], "lines", "kinds", "hashes", "digest"],
-            )
+            lines, kinds = pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string())), pa.array([[k for _, k in p] for p in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], lines, kinds], names=[*b.schema.names[1:], "lines", "kinds"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.select("page_id", "url", "row_id").schema)
-    parsed = keyed.select("html", "page_id", "url", "row_id").mapInArrow(parse, f"{schema}, lines array<string>, kinds array<int>, hashes array<long>, digest string").repartition("row_id")
-    hashes = parsed.groupBy("row_id").agg(F.first("hashes").alias("hashes"))
-    places = parsed.select(*url_key(), "row_id", "digest").distinct()
+    marks = checkpointed(keyed.select("html", *url_key(), "row_id").mapInArrow(mark, "host string, path string, row_id string, hashes array<long>, digest string").dropDuplicates(["row_id"]))
+    hashes, places = marks.select("row_id", "hashes"), marks.select("host", "path", "row_id", "digest")
     texts = places.groupBy("host", "digest").agg(F.min(F.struct("path", "row_id")).alias("at"))
     firsts = texts.select("host", "at.path", "at.row_id")
     partners = nearest_pages(firsts)
@@ -312,7 +312,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     compared = asked.select("row_id", "hashes", "others").mapInArrow(compare, "first_id string, shared array<int>")
     copies = places.join(texts.select("host", "digest", F.col("at.row_id").alias("first_id")), ["host", "digest"]).select("row_id", "first_id")
-    joined = parsed.drop("hashes", "digest").join(copies.join(compared, "first_id").select("row_id", "shared"), "row_id", "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.select("page_id", "url", "row_id").schema)
+    parsed = keyed.select("html", "page_id", "url", "row_id").mapInArrow(parse, f"{schema}, lines array<string>, kinds array<int>")
+    joined = parsed.join(copies.join(compared, "first_id").select("row_id", "shared"), "row_id", "left")
     tagged = F.transform("lines", lambda x, i: F.struct(x.alias("line"), ((F.get("kinds", i) == F.lit(MAIN)) | ~F.coalesce(F.array_contains("shared", i), F.lit(False))).alias("stays")))
     own = F.transform(F.filter(tagged, lambda x: x["stays"]), lambda x: x["line"])
     kept = F.when(F.col("shared").isNull(), F.col("lines")).when(F.size("own") > 0, F.col("own")).otherwise(F.col("lines"))
