@@ -68,11 +68,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the store that the session's checkpoints are in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over the table documents; what a stage returns is written to the shared folder and read again.
+
+    A stage's folder goes once the next one is written; the last one stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
