@@ -39,10 +39,10 @@ def topic_of(text: Column) -> Column:
     """Stand-in for the topic of a document without a topic column, by its form: table, shout, symbols, records or prose."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
-    signs = n - F.length(F.translate(text, "#$%&*", ""))
+    signs = n - F.length(F.regexp_replace(text, r"[#$%&*]+", ""))
     bars = n - F.length(F.replace(text, F.lit(" | "), F.lit("")))
     shouts = n - F.length(F.replace(text, F.lit("!!"), F.lit("")))
-    digits = n - F.length(F.translate(text, "0123456789", ""))
+    digits = n - F.length(F.regexp_replace(text, r"[0-9]+", ""))
     return F.when(bars * 20 > n, "table").when(shouts * 20 > n, "shout").when(signs * 20 > n, "symbols").when(digits * 20 > n, "records").otherwise("prose")
 
 
