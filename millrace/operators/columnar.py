@@ -45,6 +45,13 @@ def dictionary_codes(df: DataFrame, keys: list[str], value: str, arrival: str, l
     return df.join(sized.drop("__first"), [*keys, value]).withColumn("code", F.when(~F.col("overflow"), F.col("code")))
 
 
+def decoded(coded: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows of dictionary_codes with `value` read back from the dictionary, or plain where that overflowed."""
+    dictionary = coded.where("not overflow").groupBy(*keys, "code").agg(F.min(value).alias("__value"))
+    sent = coded.withColumn("__plain", F.when(F.col("overflow"), F.col(value))).drop(value)
+    return sent.join(dictionary, [*keys, "code"], "left").withColumn(value, F.coalesce("__plain", "__value")).drop("__plain", "__value")
+
+
 def column_statistics(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """lower, upper, nulls, rows and bytes of a column for each key; a null costs four bytes."""
     kind = dict(df.dtypes)[column]
@@ -104,7 +111,5 @@ def op79b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op81_columnar_decode", "SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY map_id, attempt_id, seq) AS BIGINT) AS place, size FROM records")
 def op81(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes joined to their dictionary give the values back."""
-    coded = coded_sizes(spark, sf_dir)
-    dictionary = coded.groupBy("pid", "code").agg(F.min("size").alias("decoded"))
-    return coded.select("pid", "p", "code").join(dictionary, ["pid", "code"]).select("pid", F.col("p").cast("long").alias("place"), F.col("decoded").alias("size"))
+    """Codes joined to their dictionary give the values back; a partition whose dictionary overflowed carries plain values."""
+    return decoded(coded_sizes(spark, sf_dir), ["pid"], "size").select("pid", F.col("p").cast("long").alias("place"), "size")

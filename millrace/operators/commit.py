@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.plans.registry import query
-from millrace.sources.tables import batches, locations, mapper_ends, pmod, read_table, sent_batches
+from millrace.sources.tables import MAPS_SQL, batches, key_counts, locations, mapper_ends, pmod, read_table, sent_batches
 
 
 def winners(ends: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -36,10 +36,10 @@ def op36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winners(mapper_ends(spark, sf_dir), ["map_id"], "end_ts", "end_seq")
 
 
-@query("op37_stage_complete", "SELECT attempt_id AS stage, count(DISTINCT map_id) AS ended, count(DISTINCT map_id) = 16 AS complete FROM mapper_ends WHERE map_id <> 3 OR attempt_id <> 2 GROUP BY 1")
+@query("op37_stage_complete", f"SELECT attempt_id AS stage, count(DISTINCT map_id) AS ended, count(DISTINCT map_id) = {MAPS_SQL} AS complete FROM mapper_ends WHERE map_id <> 3 OR attempt_id <> 2 GROUP BY 1")
 def op37(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = mapper_ends(spark, sf_dir).where("map_id <> 3 or attempt_id <> 2").groupBy(F.col("attempt_id").alias("stage")).agg(F.countDistinct("map_id").alias("ended"))
-    return ended.withColumn("complete", F.col("ended") == 16)
+    return ended.withColumn("complete", F.col("ended") == key_counts(spark, sf_dir)[0])
 
 
 @query("op38_final_commit", "SELECT pid, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(epoch) AS last_epoch, bool_and(epoch <> 11) AS clean FROM locations GROUP BY 1")

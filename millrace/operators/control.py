@@ -334,12 +334,12 @@ SHARES = (0.5, 0.75, 0.95, 0.98, 0.99, 0.999)
 
 @query(
     "op115_timer_percentiles",
-    "SELECT kind, count(*) AS n, min(bytes) AS lowest, max(bytes) AS highest, " + ", ".join(f"round(quantile_cont(bytes, {s}), 3) AS p{str(s)[2:]}" for s in SHARES) + " FROM (SELECT kind, bytes, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS back FROM push_events) WHERE back <= 1000 GROUP BY 1",
+    "SELECT kind, count(*) AS n, min(bytes) AS lowest, max(bytes) AS highest, round(avg(bytes), 3) AS mean, " + ", ".join(f"round(quantile_cont(bytes, {s}), 3) AS p{str(s)[2:]}" for s in SHARES) + " FROM (SELECT kind, bytes, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS back FROM push_events) WHERE back <= 1000 GROUP BY 1",
 )
 def op115(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of the last 1,000 updates of each timer, a ring buffer's contents."""
+    """Mean and exact percentiles of the last 1,000 updates of each timer, a ring buffer's contents."""
     last = push_events(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("event_id").desc()))).where("back <= 1000")
-    return last.groupBy("kind").agg(F.count("*").alias("n"), F.min("bytes").alias("lowest"), F.max("bytes").alias("highest"), *(F.round(F.percentile("bytes", F.lit(s)), 3).alias(f"p{str(s)[2:]}") for s in SHARES))
+    return last.groupBy("kind").agg(F.count("*").alias("n"), F.min("bytes").alias("lowest"), F.max("bytes").alias("highest"), F.round(F.avg("bytes"), 3).alias("mean"), *(F.round(F.percentile("bytes", F.lit(s)), 3).alias(f"p{str(s)[2:]}") for s in SHARES))
 
 
 @query("op116_labelled_counters", "SELECT 'push_bytes{kind=\"' || kind || '\"}' AS metric, CAST(sum(bytes) AS BIGINT) AS value FROM push_events GROUP BY kind")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.folds import fold_sorted
 from millrace.plans.registry import query
-from millrace.sources.tables import N_PARTITIONS, batches, pmod, read_table, records
+from millrace.sources.tables import PARTITIONS_SQL, batches, key_counts, pmod, read_table, records
 
 MAX_PARTITION_ID = (1 << 24) - 1
 SORT_MODE_PARTITIONS = 2000
@@ -170,7 +170,7 @@ def op16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op17_sorted_runs", "SELECT pid, key, size, CAST(row_number() OVER (PARTITION BY pid ORDER BY key, size) AS INT) AS place FROM records")
 def op17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window needs what sorted_runs leaves behind, so there is one exchange and one sort."""
-    runs = sorted_runs(records(spark, sf_dir).select("pid", "key", "size"), "pid", ["key", "size"], N_PARTITIONS)
+    runs = sorted_runs(records(spark, sf_dir).select("pid", "key", "size"), "pid", ["key", "size"], key_counts(spark, sf_dir)[1])
     return runs.select("pid", "key", "size", F.row_number().over(Window.partitionBy("pid").orderBy("key", "size")).alias("place"))
 
 
@@ -184,16 +184,17 @@ def op19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select(partition_id(F.col("o_custkey"), 8).alias("pid"), "o_orderkey").repartition(8, "pid")
 
 
-@query("op20_ordered_output", "SELECT CAST(o_custkey % 8 AS INT) AS pid, o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_custkey, o_orderkey) AS INT) AS place FROM orders")
+@query("op20_ordered_output", f"SELECT CAST(o_custkey % {PARTITIONS_SQL} AS INT) AS pid, o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey % {PARTITIONS_SQL} ORDER BY o_custkey, o_orderkey) AS INT) AS place FROM orders")
 def op20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = sorted_runs(read_table(spark, sf_dir, "orders").select(partition_id(F.col("o_custkey"), 8).alias("pid"), "o_custkey", "o_orderkey"), "pid", ["o_custkey", "o_orderkey"], 8)
+    n = key_counts(spark, sf_dir)[1]
+    runs = sorted_runs(read_table(spark, sf_dir, "orders").select(partition_id(F.col("o_custkey"), n).alias("pid"), "o_custkey", "o_orderkey"), "pid", ["o_custkey", "o_orderkey"], n)
     return runs.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("o_custkey", "o_orderkey")))
 
 
-@query("op21_sort_buffer", "SELECT map_id, pid, seq, CAST(row_number() OVER (PARTITION BY map_id ORDER BY (pid + map_id) % 8, attempt_id, seq) AS INT) AS place FROM records")
+@query("op21_sort_buffer", f"SELECT map_id, pid, seq, CAST(row_number() OVER (PARTITION BY map_id ORDER BY (pid + map_id) % {PARTITIONS_SQL}, attempt_id, seq) AS INT) AS place FROM records")
 def op21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read order rotates over the subpartitions, starting at another one in each map task."""
-    order = Window.partitionBy("map_id").orderBy(pmod(F.col("pid") + F.col("map_id"), N_PARTITIONS), "attempt_id", "seq")
+    order = Window.partitionBy("map_id").orderBy(pmod(F.col("pid") + F.col("map_id"), key_counts(spark, sf_dir)[1]), "attempt_id", "seq")
     return records(spark, sf_dir).select("map_id", "pid", "seq", F.row_number().over(order).alias("place"))
 
 
@@ -210,7 +211,7 @@ def op22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("map_id", "pid", "buffer_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("op23_map_output_sizes", "SELECT map_id, " + ", ".join(f"CAST(coalesce(sum(size) FILTER (pid = {p}), 0) AS BIGINT) AS p{p}" for p in range(8)) + " FROM records GROUP BY 1")
+@query("op23_map_output_sizes", "SELECT map_id, pid, CAST(sum(size) AS BIGINT) AS size FROM records GROUP BY 1, 2")
 def op23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = [F.coalesce(F.sum(F.when(F.col("pid") == p, F.col("size"))), F.lit(0)).alias(f"p{p}") for p in range(N_PARTITIONS)]
-    return records(spark, sf_dir).groupBy("map_id").agg(*sums)
+    """Bytes of each partition that a map task wrote to; partitions without bytes are left out, as there may be very many."""
+    return records(spark, sf_dir).groupBy("map_id", "pid").agg(F.sum("size").alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.folds import fold_sorted
 from millrace.plans.registry import query
-from millrace.sources.tables import batches, locations, mapper_ends, pmod, push_events, records, sent_batches
+from millrace.sources.tables import PARTITIONS_SQL, batches, key_counts, locations, mapper_ends, pmod, push_events, records, sent_batches
 
 
 def merged_requests(df: DataFrame, keys: list[str], order: list[str], size: str, limit: int) -> DataFrame:
@@ -88,14 +88,14 @@ def op24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op25_merged_requests",
-    """WITH RECURSIVE r AS (SELECT pid % 4 AS target, size, row_number() OVER (PARTITION BY pid % 4 ORDER BY map_id, attempt_id, pid, batch_id) AS i FROM batches),
+    f"""WITH RECURSIVE r AS (SELECT pid % ({PARTITIONS_SQL} // 2) AS target, size, row_number() OVER (PARTITION BY pid % ({PARTITIONS_SQL} // 2) ORDER BY map_id, attempt_id, pid, batch_id) AS i FROM batches),
     f AS (SELECT target, i, size, 0 AS request_id, CASE WHEN size >= 65536 THEN 1 ELSE 0 END AS following, CASE WHEN size >= 65536 THEN 0 ELSE size END AS waiting FROM r WHERE i = 1
       UNION ALL SELECT r.target, r.i, r.size, f.following, CASE WHEN f.waiting + r.size >= 65536 THEN f.following + 1 ELSE f.following END, CASE WHEN f.waiting + r.size >= 65536 THEN 0 ELSE f.waiting + r.size END
       FROM f JOIN r ON r.target = f.target AND r.i = f.i + 1)
     SELECT target, request_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1, 2""",
 )
 def op25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queued = batches(spark, sf_dir).withColumn("target", pmod("pid", 4).cast("int"))
+    queued = batches(spark, sf_dir).withColumn("target", pmod("pid", key_counts(spark, sf_dir)[1] // 2).cast("int"))
     out = merged_requests(queued, ["target"], ["map_id", "attempt_id", "pid", "batch_id"], "size", 65536)
     return out.groupBy("target", "request_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 

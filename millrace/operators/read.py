@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions.folds import fold_sorted
 from millrace.operators.commit import WINNERS_SQL, read_once, winners
 from millrace.plans.registry import query
-from millrace.sources.tables import batches, locations, mapper_ends, pmod, read_table, records, sent_batches
+from millrace.sources.tables import batches, key_counts, locations, mapper_ends, pmod, read_table, records, sent_batches
 
 
 def in_map_range(map_id: Column, start: int, end: int | None) -> Column:
@@ -177,13 +177,8 @@ def op63(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("key")))
 
 
-@query("op64_plain_read", "SELECT map_id, pid, key, size FROM records WHERE pid = 3")
+@query("op64_plain_read", "SELECT map_id, pid, key, size FROM records")
 def op64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where("pid = 3").select("map_id", "pid", "key", "size")
-
-
-@query("op64b_plain_read_all", "SELECT map_id, pid, key, size FROM records")
-def op64b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All partitions, as they are."""
     return records(spark, sf_dir).select("map_id", "pid", "key", "size")
 
@@ -202,17 +197,8 @@ def op67(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("pid", "key", "map_id", "size", F.row_number().over(order).alias("place"))
 
 
-@query("op68_ordered_grouped", "SELECT pid, key, array_to_string(list_sort(list(size)), ',') AS sizes FROM (SELECT * FROM records WHERE attempt_id = 0 AND size > 3000 UNION ALL SELECT * FROM records WHERE attempt_id = 1 AND size > 4000) GROUP BY 1, 2")
+@query("op68_ordered_grouped", "SELECT pid, key, array_to_string(list_sort(list(size)), ',') AS sizes FROM records GROUP BY 1, 2")
 def op68(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values grouped by key over several ordered inputs."""
-    rows = records(spark, sf_dir)
-    both = rows.where("attempt_id = 0 and size > 3000").unionByName(rows.where("attempt_id = 1 and size > 4000"))
-    grouped = both.groupBy("pid", "key").agg(F.sort_array(F.collect_list("size")).alias("sizes"))
-    return grouped.select("pid", "key", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
-
-
-@query("op68b_ordered_grouped_all", "SELECT pid, key, array_to_string(list_sort(list(size)), ',') AS sizes FROM records GROUP BY 1, 2")
-def op68b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values grouped by key over all attempts' inputs, whatever their size."""
     grouped = records(spark, sf_dir).groupBy("pid", "key").agg(F.sort_array(F.collect_list("size")).alias("sizes"))
     return grouped.select("pid", "key", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
@@ -251,23 +237,12 @@ def op71(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op72_segment_read", f"SELECT r.map_id, r.region AS segment, r.subpartition FROM {REGIONS_SQL} r WHERE r.region = (r.subpartition * 3) % 5")
 def op72(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of a queue is sent only if it is the segment that its subpartition requires."""
-    required = spark.range(8).select(F.col("id").cast("int").alias("subpartition"), pmod(F.col("id") * 3, 5).cast("int").alias("segment"))
+    required = spark.range(key_counts(spark, sf_dir)[1]).select(F.col("id").cast("int").alias("subpartition"), pmod(F.col("id") * 3, 5).cast("int").alias("segment"))
     return regions(spark, sf_dir).withColumnRenamed("region", "segment").join(F.broadcast(required), ["subpartition", "segment"]).select("map_id", "segment", "subpartition")
 
 
-@query("op73_input_gate", "SELECT channel, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT pid AS channel, size FROM batches WHERE pid < 3) GROUP BY 1")
+@query("op73_input_gate", "SELECT pid AS channel, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM batches GROUP BY 1")
 def op73(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several partition streams read as one."""
-    rows = batches(spark, sf_dir).select("pid", "size")
-    gate = None
-    for channel in range(3):
-        part = rows.where(F.col("pid") == channel).select(F.lit(channel).alias("channel"), "size")
-        gate = part if gate is None else gate.unionByName(part)
-    return gate.groupBy("channel").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-
-
-@query("op73b_input_gate_all", "SELECT pid AS channel, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM batches GROUP BY 1")
-def op73b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All partition streams read as one."""
     return batches(spark, sf_dir).groupBy(F.col("pid").alias("channel")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-N_MAPS, N_PARTITIONS, BATCH_RECORDS = 16, 8, 10
+BATCH_RECORDS = 10
+#: Map tasks and partitions of the model grow with the records, so that no map task and no partition does.
+LEAST_MAPS, ROWS_A_MAP = 16, 500_000
+LEAST_PARTITIONS, ROWS_A_PARTITION = 8, 1_000_000
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -42,6 +45,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+def key_counts(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> tuple[int, int]:
+    """Map tasks and partitions for a table's rows (a count that Parquet footers answer)."""
+    n = read_table(spark, sf_dir, table).count()
+    return max(LEAST_MAPS, -(-n // ROWS_A_MAP)), max(LEAST_PARTITIONS, -(-n // ROWS_A_PARTITION))
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder for checkpoints and results, in the one that spark.checkpoint.dir names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -58,10 +67,10 @@ def pmod(column: Column | str, n: int) -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffle records: map_id, attempt_id, pid, key, seq (order of arrival within the three) and size."""
-    line = read_table(spark, sf_dir, "lineitem")
+    line, (maps, partitions) = read_table(spark, sf_dir, "lineitem"), key_counts(spark, sf_dir)
     arrival = Window.partitionBy("map_id", "attempt_id", "pid").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "size")
     return line.select(
-        pmod("l_orderkey", N_MAPS).cast("int").alias("map_id"), pmod("l_linenumber", 2).cast("int").alias("attempt_id"), pmod("l_partkey", N_PARTITIONS).cast("int").alias("pid"),
+        pmod("l_orderkey", maps).cast("int").alias("map_id"), pmod("l_linenumber", 2).cast("int").alias("attempt_id"), pmod("l_partkey", partitions).cast("int").alias("pid"),
         F.col("l_partkey").alias("key"), (F.col("l_quantity").cast("long") * 100).alias("size"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     ).select("map_id", "attempt_id", "pid", "key", F.row_number().over(arrival).alias("seq"), "size")
 
@@ -81,7 +90,7 @@ def sent_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapper_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of finished attempts: map_id, attempt_id, end_ts, end_seq (breaks ties)."""
     orders = read_table(spark, sf_dir, "orders")
-    return orders.select(pmod("o_custkey", N_MAPS).cast("int").alias("map_id"), pmod("o_orderkey", 3).cast("int").alias("attempt_id"), F.col("o_orderdate").alias("end_ts"), F.col("o_orderkey").alias("end_seq"))
+    return orders.select(pmod("o_custkey", key_counts(spark, sf_dir)[0]).cast("int").alias("map_id"), pmod("o_orderkey", 3).cast("int").alias("attempt_id"), F.col("o_orderdate").alias("end_ts"), F.col("o_orderkey").alias("end_seq"))
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +134,17 @@ def push_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long").alias("hour"), "ts", F.round(F.col("value") * 100).cast("long").alias("bytes"), F.col("event_type").alias("kind"))
 
 
+#: key_counts in SQL.
+MAPS_SQL = f"(SELECT greatest({LEAST_MAPS}, (count(*) + {ROWS_A_MAP - 1}) // {ROWS_A_MAP}) FROM lineitem)"
+PARTITIONS_SQL = f"(SELECT greatest({LEAST_PARTITIONS}, (count(*) + {ROWS_A_PARTITION - 1}) // {ROWS_A_PARTITION}) FROM lineitem)"
+
 #: The same relations in SQL, each over the tables and the ones before it.
 MODEL_SQL = {
-    "records": """SELECT map_id, attempt_id, pid, key, CAST(row_number() OVER (PARTITION BY map_id, attempt_id, pid ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, size) AS INT) AS seq, size
-      FROM (SELECT CAST(l_orderkey % 16 AS INT) AS map_id, CAST(l_linenumber % 2 AS INT) AS attempt_id, CAST(l_partkey % 8 AS INT) AS pid, l_partkey AS key, CAST(trunc(l_quantity) AS BIGINT) * 100 AS size, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""",
+    "records": f"""SELECT map_id, attempt_id, pid, key, CAST(row_number() OVER (PARTITION BY map_id, attempt_id, pid ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, size) AS INT) AS seq, size
+      FROM (SELECT CAST(l_orderkey % {MAPS_SQL} AS INT) AS map_id, CAST(l_linenumber % 2 AS INT) AS attempt_id, CAST(l_partkey % {PARTITIONS_SQL} AS INT) AS pid, l_partkey AS key, CAST(trunc(l_quantity) AS BIGINT) * 100 AS size, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""",
     "batches": "SELECT map_id, attempt_id, pid, CAST((seq - 1) // 10 AS INT) AS batch_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM records GROUP BY ALL",
     "sent_batches": "SELECT batches.*, 0 AS copy FROM batches UNION ALL SELECT batches.*, 1 AS copy FROM batches WHERE batch_id % 5 = 0",
-    "mapper_ends": "SELECT CAST(o_custkey % 16 AS INT) AS map_id, CAST(o_orderkey % 3 AS INT) AS attempt_id, o_orderdate AS end_ts, o_orderkey AS end_seq FROM orders",
+    "mapper_ends": f"SELECT CAST(o_custkey % {MAPS_SQL} AS INT) AS map_id, CAST(o_orderkey % 3 AS INT) AS attempt_id, o_orderdate AS end_ts, o_orderkey AS end_seq FROM orders",
     "locations": "SELECT pid, epoch, size, map_ids, pid || '-' || epoch AS unique_id, (pid * 7 + epoch) % 5 AS worker FROM (SELECT pid, CAST(batch_id % 12 AS INT) AS epoch, CAST(sum(size) AS BIGINT) AS size, list_sort(list(DISTINCT map_id)) AS map_ids FROM batches GROUP BY 1, 2)",
     "workers": "SELECT s_suppkey AS worker, s_nationkey AS rack, CAST(floor(s_acctbal) AS BIGINT) AS load FROM supplier",
     "disks": "SELECT worker, disk, x % 50 AS flush, (x * 3 + 1) % 40 AS fetch, (x + 5) % 11 AS active, x % 9 + 1 AS slots, x % 13 <> 0 AS usable FROM (SELECT worker, disk, worker * 7 + disk * 3 AS x FROM workers, (VALUES (0), (1)) d(disk))",
