@@ -233,12 +233,47 @@ def op104(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_rates(push_events(spark, sf_dir), ["user_id"], "hour", "bytes", 24)
 
 
-@query("op105_congestion_decision", f"SELECT user_id, hour, coalesce(last_value(CASE WHEN rate > 15000 THEN true WHEN rate < 6000 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour), false) AS congested FROM {RATE_SQL}")
+#: High and low marks of a user's rate, of the worker's rate and of its pending bytes.
+USER_MARKS, WORKER_MARKS, PENDING_MARKS = (15_000, 6_000), (85_000, 70_000), (95_000, 50_000)
+
+
+def worker_state(events: DataFrame, hour: str, user: str, size: str, pending: Column, width: int) -> DataFrame:
+    """hour, mean (the worker's rate a user seen so far) and over: whether the worker is congested, with hysteresis.
+
+    It is once its rate or its pending bytes pass the high mark, until both are below the low ones.  One row an hour.
+    """
+    hourly = sliding_rates(events.withColumn("__all", F.lit(0)), ["__all"], hour, size, width)
+    waiting = events.groupBy(hour).agg(F.sum(pending).alias("pending"))
+    fresh = events.groupBy(user).agg(F.min(hour).alias(hour)).groupBy(hour).agg(F.count("*").alias("fresh"))
+    rows = hourly.join(waiting, hour).join(fresh, hour, "left")
+    users = F.sum(F.coalesce("fresh", F.lit(0))).over(Window.orderBy(hour).rowsBetween(Window.unboundedPreceding, 0))
+    on = (F.col("pending") > PENDING_MARKS[0]) | (F.col("rate") > WORKER_MARKS[0])
+    off = (F.col("pending") < PENDING_MARKS[1]) & (F.col("rate") < WORKER_MARKS[1])
+    over = forward_filled(F.when(off, F.lit(False)).when(on, F.lit(True)), [], [hour], F.lit(False))
+    return rows.select(hour, F.floor(F.col("rate") / users).alias("mean"), over.alias("over"))
+
+
+WORKER_SQL = f"""(SELECT hour, rate // users AS mean, coalesce(last_value(CASE WHEN pending < {PENDING_MARKS[1]} AND rate < {WORKER_MARKS[1]} THEN false WHEN pending > {PENDING_MARKS[0]} OR rate > {WORKER_MARKS[0]} THEN true END IGNORE NULLS) OVER (ORDER BY hour), false) AS over_mark
+    FROM (SELECT h.hour, total // buckets AS rate, pending, sum(coalesce(fresh, 0)) OVER (ORDER BY h.hour) AS users
+      FROM (SELECT hour, sum(v) OVER w AS total, hour - min(hour) OVER w + 1 AS buckets, pending FROM (SELECT hour, sum(bytes) AS v, sum(CASE WHEN event_id % 7 < 5 THEN bytes ELSE 0 END) AS pending FROM push_events GROUP BY 1) WINDOW w AS (ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)) h
+      LEFT JOIN (SELECT hour, count(*) AS fresh FROM (SELECT user_id, min(hour) AS hour FROM push_events GROUP BY 1) GROUP BY 1) f ON f.hour = h.hour))"""
+
+
+@query(
+    "op105_congestion_decision",
+    f"""SELECT user_id, hour, early OR coalesce(last_value(CASE WHEN early THEN NULL WHEN rate > {USER_MARKS[0]} THEN true WHEN rate < {USER_MARKS[1]} THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour), false) AS congested
+    FROM (SELECT r.user_id, r.hour, r.rate, w.over_mark AND r.rate > w.mean AS early FROM {RATE_SQL} r JOIN {WORKER_SQL} w ON w.hour = r.hour)""",
+)
 def op105(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On above the high mark, off below the low one, else as before."""
-    rates = sliding_rates(push_events(spark, sf_dir), ["user_id"], "hour", "bytes", 24)
-    decided = F.when(F.col("rate") > 15_000, F.lit(True)).when(F.col("rate") < 6_000, F.lit(False))
-    return rates.select("user_id", "hour", forward_filled(decided, ["user_id"], ["hour"], F.lit(False)).alias("congested"))
+    """A congested worker stops users above the mean rate; else a user is stopped above the high mark, until below the low one.
+
+    What the worker's congestion decides leaves the user's own state as it was.
+    """
+    events = push_events(spark, sf_dir)
+    state = worker_state(events, "hour", "user_id", "bytes", F.when(pmod("event_id", 7) < 5, F.col("bytes")).otherwise(0), 24)
+    rates = sliding_rates(events, ["user_id"], "hour", "bytes", 24).join(state, "hour").withColumn("early", F.col("over") & (F.col("rate") > F.col("mean")))
+    own = F.when(~F.col("early"), F.when(F.col("rate") > USER_MARKS[0], F.lit(True)).when(F.col("rate") < USER_MARKS[1], F.lit(False)))
+    return rates.select("user_id", "hour", (F.col("early") | forward_filled(own, ["user_id"], ["hour"], F.lit(False))).alias("congested"))
 
 
 @query("op106_inactive_users", "SELECT user_id, max(hour) AS last_hour FROM push_events GROUP BY 1 HAVING (SELECT max(hour) FROM push_events) - max(hour) >= 12")

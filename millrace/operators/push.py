@@ -47,6 +47,26 @@ def split_epochs(df: DataFrame, keys: list[str], order: list[str], size: str, th
     return fold_sorted(df, keys, order, lambda: (0, 0), step, "epoch int")
 
 
+def answered_requests(df: DataFrame, keys: list[str], order: list[str], epoch: str, tick: str) -> DataFrame:
+    """Requests for a partition's next location, each with outcome and answer (the epoch that it is given).
+
+    Requests that arrive in one tick are handled together at its end, by one new epoch.  A request joins one that waits; else,
+    if a newer epoch than its own is known, it is answered with that at once; else it opens a new request.
+    """
+
+    def step(state, row):
+        latest, waiting = state
+        if waiting is not None and waiting != row[tick]:
+            latest, waiting = latest + 1, None
+        if waiting is not None:
+            return (latest, waiting), ("joined", latest + 1)
+        if latest > row[epoch]:
+            return (latest, None), ("known", latest)
+        return (latest, row[tick]), ("opened", latest + 1)
+
+    return fold_sorted(df, keys, order, lambda: (0, None), step, "outcome string, answer int")
+
+
 def congestion_windows(df: DataFrame, keys: list[str], order: list[str], congested: str, most: int, initial_sleep: int = 1000, longest_sleep: int = 5000) -> DataFrame:
     """df with cwnd, threshold and sleep_ms after each reply.
 
@@ -125,6 +145,22 @@ def op27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("pid", "epoch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query(
+    "op27b_split_requests",
+    """WITH RECURSIVE r AS (SELECT pid, batch_id // 3 AS epoch, batch_id // 2 AS tick, row_number() OVER (PARTITION BY pid ORDER BY batch_id, map_id, attempt_id) AS i FROM batches WHERE (map_id + batch_id) % 3 = 0),
+    f AS (SELECT pid, i, 0 AS latest, tick AS waiting, 'opened' AS outcome, 1 AS answer FROM r WHERE i = 1
+      UNION ALL SELECT pid, i, latest, CASE WHEN joins THEN waiting WHEN latest > epoch THEN -1 ELSE tick END, CASE WHEN joins THEN 'joined' WHEN latest > epoch THEN 'known' ELSE 'opened' END, CASE WHEN NOT joins AND latest > epoch THEN latest ELSE latest + 1 END
+      FROM (SELECT r.pid, r.i, r.epoch, r.tick, f.waiting, f.waiting = r.tick AS joins, f.latest + CASE WHEN f.waiting >= 0 AND f.waiting <> r.tick THEN 1 ELSE 0 END AS latest FROM f JOIN r ON r.pid = f.pid AND r.i = f.i + 1))
+    SELECT pid, outcome, answer, count(*) AS n FROM f GROUP BY 1, 2, 3""",
+)
+def op27b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third push of a map task finds its partition split."""
+    asked = batches(spark, sf_dir).where(pmod(F.col("map_id") + F.col("batch_id"), 3) == 0)
+    timed = asked.select("pid", "map_id", "attempt_id", "batch_id", F.floor(F.col("batch_id") / 3).cast("int").alias("epoch"), F.floor(F.col("batch_id") / 2).cast("int").alias("tick"))
+    out = answered_requests(timed, ["pid"], ["batch_id", "map_id", "attempt_id"], "epoch", "tick")
+    return out.groupBy("pid", "outcome", "answer").agg(F.count("*").alias("n"))
+
+
 @query("op28_revive_batching", "SELECT DISTINCT map_id AS shuffle_id, pid FROM records WHERE size > 4500")
 def op28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).where("size > 4500").select(F.col("map_id").alias("shuffle_id"), "pid").dropDuplicates(["shuffle_id", "pid"])

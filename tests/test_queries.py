@@ -45,4 +45,4 @@ def test_query(spark, oracle, name):
 
 
 def test_every_query_but_a_few_has_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"op74_columnar_eligibility", "op82b_crc_of_names", "op93b_load_aware_allocations"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"op74_columnar_eligibility", "op82b_crc_of_names", "op92b_budgeted_slots", "op93b_load_aware_allocations", "op94b_relaxed_placement"}
