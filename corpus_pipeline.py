@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import benchmark_hits
 from millrace.llm.mixing import mix_sources
-from millrace.llm.near_dedup import checkpoint_folder, near_duplicates
+from millrace.llm.near_dedup import BROADCAST_IDS, checkpoint_folder, checkpointed, near_duplicates
 from millrace.llm.secret_scan import redacted, secret_spans
 from millrace.llm.toxicity import toxicity
 
@@ -36,8 +36,9 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles); rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = checkpointed(near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
