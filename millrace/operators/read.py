@@ -201,7 +201,7 @@ def op67(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op68(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values grouped by key over all attempts' inputs, whatever their size."""
     grouped = records(spark, sf_dir).groupBy("pid", "key").agg(F.sort_array(F.collect_list("size")).alias("sizes"))
-    return grouped.select("pid", "key", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+    return grouped.select("pid", "key", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
 
 
 @query("op69_concatenated_inputs", "SELECT c_custkey AS k, 'customer' AS side FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier UNION ALL SELECT p_partkey, 'part' FROM part")

@@ -40,7 +40,7 @@ def repartition_reduce_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_then_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-03 over all rows."""
     grouped = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("vs"))
-    return grouped.select("k", F.array_join(F.transform("vs", lambda x: x.cast("string")), ",").alias("vs")).orderBy("k")
+    return grouped.select("k", F.array_join(F.col("vs").cast("array<string>"), ",").alias("vs")).orderBy("k")
 
 
 @query("q04_group_order", "SELECT l_returnflag, count(l_linestatus) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag")

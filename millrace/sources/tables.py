@@ -45,9 +45,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def key_counts(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> tuple[int, int]:
-    """Map tasks and partitions for a table's rows (a count that Parquet footers answer)."""
-    n = read_table(spark, sf_dir, table).count()
+def key_counts(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Map tasks and partitions for the rows of lineitem."""
+    return counts_for(read_table(spark, sf_dir, "lineitem"))
+
+
+def counts_for(line: DataFrame) -> tuple[int, int]:
+    """key_counts of a table that is read already; Parquet footers answer the count."""
+    n = line.count()
     return max(LEAST_MAPS, -(-n // ROWS_A_MAP)), max(LEAST_PARTITIONS, -(-n // ROWS_A_PARTITION))
 
 
@@ -67,7 +72,8 @@ def pmod(column: Column | str, n: int) -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffle records: map_id, attempt_id, pid, key, seq (order of arrival within the three) and size."""
-    line, (maps, partitions) = read_table(spark, sf_dir, "lineitem"), key_counts(spark, sf_dir)
+    line = read_table(spark, sf_dir, "lineitem")
+    maps, partitions = counts_for(line)
     arrival = Window.partitionBy("map_id", "attempt_id", "pid").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "size")
     return line.select(
         pmod("l_orderkey", maps).cast("int").alias("map_id"), pmod("l_linenumber", 2).cast("int").alias("attempt_id"), pmod("l_partkey", partitions).cast("int").alias("pid"),
