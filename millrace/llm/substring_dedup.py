@@ -9,7 +9,7 @@ hash and answers each block with those of its hashes that a smaller block has as
 comparison is local.  So a passage that a third of all documents share costs one entry a block and not one a document,
 no task holds more than a block or a bucket, and the text itself is shuffled once (both passes read the same exchange).
 Blocks and buckets are as many as the input needs, at a size that does not depend on it; nothing is collected but a
-fixed number of quantiles of doc_id, weighted by the texts' kilobytes.  Rows without an id meet no other row and are not shuffled.
+fixed number of quantiles of doc_id, weighted by the texts' bytes.  Rows without an id meet no other row and are not shuffled.
 
 Defined results.  Null text has no words.  A null doc_id is neither smaller nor larger than any other, so such a row
 loses nothing and costs others nothing; rows with equal ids do not remove each other's words.  Extra columns are ignored.
@@ -31,7 +31,7 @@ from millrace.llm.tokens import U64, Words, encoded, pieces, ranges
 #: Quantiles of doc_id that the block bounds are interpolated between.
 KNOTS = 4096
 #: Bytes of text that a document counts once more for in the quantiles.
-KNOT_BYTES = 1024
+KNOT_BYTES = 4096
 #: Windows that one bucket is meant to hold, and bounds of a block's text in bytes.
 BUCKET_WINDOWS = 1 << 20
 BLOCK_BYTES = (2 << 20, 128 << 20)
@@ -67,7 +67,7 @@ def block_windows(texts: pa.ChunkedArray | pa.Array, width: int):
 def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans of removed words (from 0, end exclusive), kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shares = [i / KNOTS for i in range(KNOTS + 1)]
+    shares = F.split(F.lit(",".join(str(i / KNOTS) for i in range(KNOTS + 1))), ",").cast("array<double>")  # one literal, not thousands
     counted = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     weighted = counted.select("doc_id", "size", F.posexplode(F.array_repeat(F.lit(0), (1 + F.col("size") / KNOT_BYTES).cast("int"))).alias("copy", "zero"))
     size, knots = weighted.agg(F.sum(F.when(F.col("copy") == 0, F.col("size"))), F.percentile_approx("doc_id", shares, 10 * KNOTS)).first()
