@@ -170,8 +170,9 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << ORDER_BITS, np.int64)
         for b in batches:
-            for blob in b.column(0):
-                total += np.bincount((np.frombuffer(blob.as_buffer(), U64) >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+            if b.num_rows:
+                e = np.concatenate([np.frombuffer(blob.as_buffer(), U64) for blob in b.column(0)])
+                total += np.bincount((e >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
