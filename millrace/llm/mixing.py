@@ -6,8 +6,9 @@ the probability of its cell's raked weight over the cell's tokens.  Targets that
 the expected share (shortfalls).
 
 Plan.  DataFrame functions only: one aggregation with map-side combining, one pass that joins each row to its cell.  The
-cells are attribute combinations and not data; up to MAX_CELLS of them are raked on the driver, more are refused.  A
-document's draw is a hash of its id, so reruns, retries and copies of a row agree.
+cells are attribute combinations and not data; up to MAX_CELLS of them are raked on the driver and broadcast, more are raked
+as a table (raking) and joined by shuffle.  A document's draw is a hash of its id, so reruns, retries and copies of a row
+agree.
 
 Defined results.  Null attributes form a value of their own; null or empty text has no tokens and is kept as its cell is;
 a null id draws by its text.  Targets name values and shares; values without a target share what is left by their tokens
@@ -16,13 +17,15 @@ to the power of SMOOTHING.  Values with a target but no documents are left out a
 
 from __future__ import annotations
 
-import json
 import logging
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.raking import listed, raked_cells
+
+#: Cells that are raked on the driver and broadcast, about 60 bytes each.
 MAX_CELLS = 200_000
 ROUNDS, TOLERANCE = 100, 1e-9
 #: Rounds of raking under the bound, and the largest factor of a value.
@@ -32,6 +35,7 @@ SHORT = 1e-4
 SMOOTHING = 0.7
 MISSING = "(none)"
 AXES = ("source", "lang", "topic")
+KEYS = ["__0", "__1", "__2"]
 LOG = logging.getLogger(__name__)
 
 
@@ -164,16 +168,8 @@ def shortfalls(cells: dict[tuple[str, ...], float], goals: list[dict[str, float]
     return out
 
 
-def mix_sources(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 7) -> DataFrame:
-    """The sampled documents, with n_tokens, topic, probability and weight (1 / probability) added."""
-    targets = targets or {}
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text").cast("string"))
-    cell = [F.coalesce(F.col("source").cast("string"), F.lit(MISSING)).alias("__0"), F.coalesce(F.col("lang").cast("string"), F.lit(MISSING)).alias("__1"), F.coalesce(topic, F.lit(MISSING)).alias("__2")]
-    extra = ("n_tokens", "probability", "weight", "topic")
-    marked = docs.select("*", *cell, tokens_of(F.col("text").cast("string")).alias("__n"))
-    rows = marked.groupBy("__0", "__1", "__2").agg(F.sum("__n").alias("tokens")).limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of source, language and topic")
+def listed_chances(spark: SparkSession, rows: list[Row], targets: dict[str, dict[str, float]], share: float) -> DataFrame:
+    """The cells rows (KEYS, tokens) with the probability __p of a document of each, raked on the driver."""
     cells = {(r[0], r[1], r[2]): float(r.tokens or 0) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2]))}
     goals = []
     for i, axis in enumerate(AXES):
@@ -184,10 +180,24 @@ def mix_sources(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str
     chance = probabilities(cells, bounded(cells, goals, share), share) if cells else {}
     for axis, value, wanted, expected in shortfalls(cells, goals, chance):
         LOG.warning("target of %s %s can't be met at share %s: %.6f wanted, %.6f expected", axis, value, share, wanted, expected)
-    listed = json.dumps([{"__0": c[0], "__1": c[1], "__2": c[2], "__p": p} for c, p in chance.items()])
-    table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<__0:string,__1:string,__2:string,__p:double>>")))
+    return listed(spark, [{**dict(zip(KEYS, c)), "__p": p} for c, p in chance.items()], "__0:string,__1:string,__2:string,__p:double")
+
+
+def mix_sources(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 7) -> DataFrame:
+    """The sampled documents, with n_tokens, topic, probability and weight (1 / probability) added."""
+    targets = targets or {}
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text").cast("string"))
+    cell = [F.coalesce(F.col("source").cast("string"), F.lit(MISSING)).alias("__0"), F.coalesce(F.col("lang").cast("string"), F.lit(MISSING)).alias("__1"), F.coalesce(topic, F.lit(MISSING)).alias("__2")]
+    extra = ("n_tokens", "probability", "weight", "topic")
+    marked = docs.select("*", *cell, tokens_of(F.col("text").cast("string")).alias("__n"))
+    summed = marked.groupBy(*KEYS).agg(F.sum("__n").alias("tokens"))
+    rows = summed.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        table = raked_cells(summed, KEYS, [targets.get(axis) for axis in AXES], share, SMOOTHING).hint("merge")
+    else:
+        table = F.broadcast(listed_chances(docs.sparkSession, rows, targets, share))
     drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text").cast("string"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     uniform = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / float(1 << 53)
-    kept = marked.join(F.broadcast(table), ["__0", "__1", "__2"]).where(uniform < F.col("__p"))
+    kept = marked.join(table, KEYS).where(uniform < F.col("__p"))
     plain = [c for c in docs.columns if c not in extra]
     return kept.select(*plain, F.col("__2").alias("topic"), F.col("__n").alias("n_tokens"), F.round("__p", 9).alias("probability"), F.round(1 / F.col("__p"), 9).alias("weight"))
