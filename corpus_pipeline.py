@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import benchmark_hits
 from millrace.llm.mixing import mix_sources
-from millrace.llm.near_dedup import BROADCAST_IDS, checkpoint_folder, checkpointed, near_duplicates
+from millrace.llm.near_dedup import BROADCAST_IDS, checkpoint_folder, checkpointed, near_duplicates, small_batches
 from millrace.llm.secret_scan import redacted, secret_spans
 from millrace.llm.toxicity import toxicity
 
@@ -42,9 +42,13 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leaked test item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return benchmark_hits(docs.select(*COLUMNS), items).where("size(hits) = 0").select(*COLUMNS)
+    """Documents without a leaked test item.  Rows of equal id and text have equal hits; those with hits are found in small batches."""
+    docs = docs.select(*COLUMNS)
+    with small_batches(spark):
+        found = benchmark_hits(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(hits) > 0")
+        leaked = checkpointed(found.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")).distinct())
+    few = leaked.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(leaked) if few else leaked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
