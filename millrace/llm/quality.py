@@ -1,12 +1,13 @@
 """Quality rules: log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus, per n-gram.
 
 Two multinomials over hashed uni- and bigrams are counted, one over the trusted documents and one over all documents; a
-document's score is the mean over its n-grams of log p(trusted) - log p(raw).  The threshold is fixed before scoring, from
-a bounded sample of labelled rows, and every document is compared with it; nothing is drawn at random.
+document's score is the mean over its n-grams of log p(trusted) - log p(raw).  The threshold is the best cut over the scores of
+all labelled rows, and every document is compared with it; nothing is sampled or drawn at random.
 
 Plan.  Counting and scoring are one pass each over documents without a shuffle of text; a counting task sends at most
-one row a bucket, summed in Spark to a table of fixed size.  The trusted ids are joined by broadcast up to
-BROADCAST_ROWS of them and by a sort-merge join beyond.
+one row a bucket, summed in Spark to a table of fixed size.  Scores, without texts, are checkpointed, as the threshold and
+the result both read them.  The labelled ids are joined by broadcast up to BROADCAST_ROWS of them and by a sort-merge join
+beyond (of the counting pass with its texts).  The threshold is found by bins of llr: the driver takes one row a bin.
 
 Defined results.  Null and empty texts have no words: all counts 0, score 0.0, base_failed true.  Label rows that
 disagree count as not trusted; null labels are ignored.  Without trusted rows every score is 0.0 and the base rules decide.
@@ -16,17 +17,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.near_dedup import settled
 from millrace.llm.tokens import LOWER, SPACE, U64, Words, pieces
 
 BITS = 16
 SMOOTHING = 0.5
 BROADCAST_ROWS = 1_000_000
-#: Labelled rows that the threshold is fitted on: those with the least hash of doc_id.
-SAMPLE_ROWS = 20_000
-#: Share of the trusted sample that the threshold must keep.
+#: Bins of the threshold's search in a unit of llr; llr has DIGITS decimals, so a bin holds a million values at most.
+BINS = 1000
+DIGITS = 9
+#: Share of the trusted rows that the threshold must keep.
 KEEP_TRUSTED = 0.995
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -127,26 +130,34 @@ def scored(docs: DataFrame, llr: np.ndarray) -> DataFrame:
                 n = np.bincount(row, minlength=len(part))
                 total = np.bincount(row, weights=llr[bucket], minlength=len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(begin, end - begin), *(pa.array(measures[m].astype(np.int64)) for m in MEASURES), pa.array(np.round(total / np.maximum(n, 1), 9))], names=["doc_id", *MEASURES, "llr"]
+                    [b.column(0).slice(begin, end - begin), *(pa.array(measures[m].astype(np.int64)) for m in MEASURES), pa.array(np.round(total / np.maximum(n, 1), DIGITS))], names=["doc_id", *MEASURES, "llr"]
                 )
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", llr double")
 
 
-def fit_threshold(good: np.ndarray, llr: np.ndarray) -> float:
-    """The cut with the best balanced accuracy among those that keep KEEP_TRUSTED of the trusted rows."""
-    if not good.any() or good.all():
+def fit_threshold(rows: DataFrame) -> float:
+    """The cut with the best balanced accuracy among those that keep KEEP_TRUSTED of the trusted rows, over all rows (llr, good)."""
+    trusted = (F.col("good") == 1).cast("long")
+    values = rows.groupBy("llr").agg(F.sum(trusted).alias("good"), F.sum(1 - trusted).alias("bad")).withColumn("bin", F.floor(F.col("llr") * BINS))
+    bins = values.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("llr").alias("last")).toArrow().sort_by("bin")
+    good, bad = (np.concatenate([[0], np.cumsum(bins[c].to_numpy())]).astype(np.int64) for c in ("good", "bad"))
+    n_good, n_bad = int(good[-1]), int(bad[-1])
+    if not n_good or not n_bad:
         return float("-inf")
-    order = np.argsort(llr, kind="stable")
-    llr, good = llr[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    caught = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    real = np.concatenate([[True], llr[1:] != llr[:-1], [True]])
-    gain = np.where(real & (lost <= 1 - KEEP_TRUSTED), caught - lost, -1.0)
-    best = int(np.argmax(gain))
-    if best == 0:
-        return float("-inf")
-    return float((llr[best - 1] + llr[best]) / 2) if best < len(llr) else float("inf")
+    last = pa.array([None, *bins["last"].to_pylist()[:-1]], pa.float64())
+    most = 1 - KEEP_TRUSTED
+    below = pa.table({"bin": bins["bin"], "good_below": good[:-1], "bad_below": bad[:-1], "value_below": last}).filter(pa.array(good[:-1] / n_good <= most))
+    ordered = Window.partitionBy("bin").orderBy("llr")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = values.join(F.broadcast(rows.sparkSession.createDataFrame(below)), "bin").select(
+        "llr",
+        F.coalesce(F.lag("llr").over(ordered), F.col("value_below")).alias("value_below"),
+        ((F.col("good_below") + F.coalesce(F.sum("good").over(before), F.lit(0))) / n_good).alias("lost"),
+        ((F.col("bad_below") + F.coalesce(F.sum("bad").over(before), F.lit(0))) / n_bad).alias("caught"),
+    )
+    best = cuts.where(F.col("lost") <= most).orderBy((F.col("caught") - F.col("lost")).desc(), "llr").first()
+    return float("-inf") if best.value_below is None else (best.value_below + best.llr) / 2
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,12 +166,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = trusted_ids(labels)
     n_labels = known.count()
     llr = ngram_llr(docs, known, n_labels)
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_ROWS)
-    picked = docs.join(F.broadcast(sample), docs.doc_id == sample.label_id).select("doc_id", "text", "good")
-    fitted = scored(picked, llr).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("good", "llr", "n_words", "n_repeat_words").toArrow()
-    n = fitted["n_words"].to_numpy()
-    ripe = (n >= 50) & (100 * fitted["n_repeat_words"].to_numpy() <= 50 * n)
-    cut = fit_threshold(fitted["good"].to_numpy()[ripe] == 1, fitted["llr"].to_numpy()[ripe])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = scored(docs, llr).withColumn("base_failed", failed)
-    return out.withColumns({"threshold": F.lit(cut), "kept": ~F.col("base_failed") & (F.col("llr") >= F.lit(cut))})
+    rows, _ = settled(scored(docs, llr).withColumn("base_failed", failed))
+    cut = fit_threshold(with_labels(rows.where(~F.col("base_failed")).select("doc_id", "llr"), known, n_labels).where(F.col("good").isNotNull()))
+    return rows.withColumns({"threshold": F.lit(cut), "kept": ~F.col("base_failed") & (F.col("llr") >= F.lit(cut))})
