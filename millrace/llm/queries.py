@@ -14,7 +14,7 @@ from millrace.llm.license_scan import license_scan
 from millrace.llm.mixing import mix_sources
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality import quality_rules
-from millrace.llm.secret_scan import named, secret_spans
+from millrace.llm.secret_scan import counted, named, secret_spans
 from millrace.llm.substring_dedup import substring_dedup
 from millrace.llm.toxicity import toxicity
 
@@ -56,7 +56,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(name) for i, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    counts = [counted(F.col("base"), i).alias(name) for i, name in enumerate(("n_assign", "n_access", "n_hex"))]
     return out.select("doc_id", *counts, F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 

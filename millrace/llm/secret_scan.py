@@ -194,6 +194,11 @@ def discovery_bin(docs: DataFrame) -> int:
     return best
 
 
+def counted(spans: Column, kind: int) -> Column:
+    """Number of spans of a kind.  The lambda takes one argument: a second one, even with a default, would be given the index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def named(spans: Column) -> Column:
     """kind:begin:finish of each span, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
